@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path for a written table in the folder that all executors share, ``spark.checkpoint.dir``.
+
+    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        global _LOCAL
+        _LOCAL = base = _LOCAL or tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/{name}"
+
+
+_LOCAL: str | None = None
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers unpickle functions of it by name."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
