@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talliflow.llm import formatting
+from talliflow.llm import canonical, defects, formatting
 from talliflow.session import table
 
 
@@ -20,8 +20,36 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formatting.collapse(rows, "conv_id", "input")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.find_defects(table(spark, d, "predictions")).where("defect is not null")
+
+
+def p3_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each model by kind of defect."""
+    rows = table(spark, d, "predictions")
+    found = defects.find_defects(rows)
+    return found.join(rows.select("pred_id", "model"), "pred_id").groupBy("model", "defect").agg(F.count("*").alias("n"))
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_values(table(spark, d, "predictions"), table(spark, d, "canonical_values"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select("pred_id", "target_no", "field", "canonical")
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that fit no entry, with how often each occurs."""
+    return canonical.unmatched_report(_mapped(spark, d))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
+    "p3_found": p3_found,
+    "p3_by_model": p3_by_model,
+    "p7_found": p7_found,
+    "p7_unmatched": p7_unmatched,
 }
 SQL: dict[str, str] = {}
