@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talliflow.llm import canonical, defects, formatting
+from talliflow.llm import canonical, defects, formatting, mixing, packing, sampling
 from talliflow.session import table
 
 
+#: Size of the sample as a part of all usable targets.
+SAMPLE_FRACTION = 0.2
+
+
+def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return sampling.matching_sample(table(spark, d, "golden"), table(spark, d, "sample_targets"), SAMPLE_FRACTION)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d)[1].where("short").select("target_key")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and drawn numbers of every key."""
+    return _sample(spark, d)[1]
+
+
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn targets."""
+    return _sample(spark, d)[0].select("entry_id", "target_no", "target_key", "picked")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = formatting.same_messages(table(spark, d, "conversations"), "conv_id", "input")
     return pairs.where("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
@@ -44,11 +66,56 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.unmatched_report(_mapped(spark, d))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("piece_no = 2").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every text or part of a text and its container."""
+    return _packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.packing_report(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1].where("short").select("source")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual shares of the sources."""
+    return _mixed(spark, d)[1]
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the mix and their places in it."""
+    return _mixed(spark, d)[0]
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p1_sample": p1_sample,
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
     "p3_by_model": p3_by_model,
+    "p8_found": p8_found,
+    "p8_packed": p8_packed,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p9_mix": p9_mix,
     "p7_found": p7_found,
     "p7_unmatched": p7_unmatched,
 }

@@ -18,6 +18,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talliflow.session import shared_path
@@ -320,13 +321,11 @@ def continued_texts(prose: DataFrame) -> DataFrame:
         _neighbours, "prose string, next_char string, kind string, part int"
     ).write.parquet(path)
     rows = spark.read.parquet(path)
-    # two rows per partition, whatever the size of the data
-    lasts = rows.where("kind = 'last'").select("prose", "part")
-    firsts = rows.where("kind = 'first'").select(F.col("prose").alias("follower"), F.col("part").alias("at"))
-    after = lasts.join(firsts, F.col("at") > F.col("part")).groupBy("prose", "part").agg(F.min_by("follower", "at").alias("follower"))
-    ends = after.where(F.col("follower").startswith(F.col("prose"))).select(
-        "prose", F.expr("substring(follower, length(prose) + 1, 1)").alias("next_char")
-    )
+    # two rows per partition, whatever the size of the data: in order, a last text's follower is the next first one
+    order = W.orderBy("part", F.when(F.col("kind") == "first", 0).otherwise(1))
+    ends = rows.where("kind <> 'pair'").select("*", F.lead("prose").over(order).alias("follower"))
+    ends = ends.where((F.col("kind") == "last") & F.col("follower").startswith(F.col("prose")) & (F.col("follower") != F.col("prose")))
+    ends = ends.select("prose", F.expr("substring(follower, length(prose) + 1, 1)").alias("next_char"))
     return rows.where("kind = 'pair'").select("prose", "next_char").union(ends)
 
 
