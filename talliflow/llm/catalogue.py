@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talliflow.llm import canonical, defects, formatting, mixing, packing, sampling
+from talliflow.functions.text import loose_key
+from talliflow.llm import canonical, defects, formatting, mixing, packing, reading, sampling
 from talliflow.session import table
 
 
@@ -102,6 +103,20 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[0]
 
 
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where("level = 3").select("doc_id")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source by level."""
+    docs = table(spark, d, "documents").select("doc_id", loose_key(F.col("source")).alias("source"))
+    return _levels(spark, d).join(docs, "doc_id").groupBy("source", "level").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -116,6 +131,8 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p9_mix": p9_mix,
+    "p10_found": p10_found,
+    "p10_profile": p10_profile,
     "p7_found": p7_found,
     "p7_unmatched": p7_unmatched,
 }
