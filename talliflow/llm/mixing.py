@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talliflow.functions.text import loose_key
-from talliflow.llm import ranks
+from talliflow.operators import ranks
 from talliflow.llm.tokens import VOCABULARY, token_count
 from talliflow.session import shared_path
 
@@ -154,5 +154,5 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     got = out.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
     report = plan_df.drop("whole", "part").join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     report = report.withColumn("actual_share", F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(W.partitionBy())))
-    short = F.col("tokens") * F.col("max_repeats") < F.col("wanted_tokens")
+    short = (F.col("tokens") * F.col("max_repeats") < F.col("wanted_tokens")) & (F.col("mixed_tokens") < F.col("wanted_tokens"))
     return out, report.withColumn("short", short)

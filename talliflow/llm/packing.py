@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talliflow.llm import ranks
+from talliflow.operators import ranks
 from talliflow.llm.tokens import VOCABULARY, token_count
 from talliflow.session import shared_path
 

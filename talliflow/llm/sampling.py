@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talliflow.functions.text import loose_key
-from talliflow.llm import ranks
+from talliflow.operators import ranks
 
 #: More wanted categories than this are refused, as their counts come to the driver.
 MAX_CATEGORIES = 100_000
