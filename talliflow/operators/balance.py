@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talliflow.session import shared_path
+
 #: Variants of one seed, at most.
 PER_SEED = 5
 
@@ -55,7 +59,9 @@ def plan(golden: DataFrame, gaps: DataFrame, most_keys: int = 1000) -> DataFrame
     todo = gap_summary(gaps).select("target_key", "gap").limit(most_keys + 1).collect()
     if len(todo) > most_keys:
         raise ValueError(f"more than {most_keys} keys to fill")
-    own = seeds(golden, gaps.where("gap > 0"))
+    path = shared_path(golden.sparkSession, f"seeds-{uuid.uuid4().hex}")
+    seeds(golden, gaps.where("gap > 0")).write.partitionBy("target_key").parquet(path)
+    own = golden.sparkSession.read.parquet(path) if todo else None
     out = None
     for step, g in enumerate(todo, 1):
         mine = own.where(F.col("target_key") == g["target_key"])

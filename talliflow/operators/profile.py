@@ -90,13 +90,16 @@ def recommendations(golden: DataFrame, categories: DataFrame) -> DataFrame:
     for part in (p, used, dims, multi):  # one row each
         part = part.withColumn("_k", F.lit(1))
         one = part if one is None else one.join(part, "_k")
+    def note(ord_: int, kind_: str, topic: str, value: str) -> Column:
+        return F.struct(F.lit(ord_).alias("ord"), F.lit(kind_).alias("kind"), F.lit(topic).alias("topic"), F.col(value).cast("double").alias("value"))
+
     notes = F.array(
-        F.when(F.col("expense_pct") > SKEW_PERCENT, F.struct(F.lit(1).alias("ord"), F.lit("warning").alias("kind"), F.lit("expenses").alias("topic"), F.col("expense_pct").alias("value")))
-        .when(F.col("income_pct") > SKEW_PERCENT, F.struct(F.lit(1), F.lit("warning"), F.lit("incomes"), F.col("income_pct")))
-        .otherwise(F.struct(F.lit(1), F.lit("success"), F.lit("balance"), F.col("expense_pct"))),
-        F.when(F.col("used_e") < F.col("all_e") * COVERAGE_SHARE, F.struct(F.lit(2), F.lit("info"), F.lit("expense_categories"), F.col("used_e").cast("double"))),
-        F.when(F.col("used_i") < F.col("all_i") * COVERAGE_SHARE, F.struct(F.lit(3), F.lit("info"), F.lit("income_categories"), F.col("used_i").cast("double"))),
-        F.when(F.col("multi") < F.col("entries") * MULTI_SHARE, F.struct(F.lit(4), F.lit("info"), F.lit("several_targets"), F.col("multi").cast("double"))),
+        F.when(F.col("expense_pct") > SKEW_PERCENT, note(1, "warning", "expenses", "expense_pct"))
+        .when(F.col("income_pct") > SKEW_PERCENT, note(1, "warning", "incomes", "income_pct"))
+        .otherwise(note(1, "success", "balance", "expense_pct")),
+        F.when(F.col("used_e") < F.col("all_e") * COVERAGE_SHARE, note(2, "info", "expense_categories", "used_e")),
+        F.when(F.col("used_i") < F.col("all_i") * COVERAGE_SHARE, note(3, "info", "income_categories", "used_i")),
+        F.when(F.col("multi") < F.col("entries") * MULTI_SHARE, note(4, "info", "several_targets", "multi")),
     )
     return one.select(F.inline(F.array_compact(notes)))
 

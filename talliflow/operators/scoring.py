@@ -40,14 +40,14 @@ def matched(predictions: DataFrame, golden: DataFrame) -> DataFrame:
 
     Null arrays and null items count as absent. Spark broadcasts the curated side if its size allows.
     """
-    expected = last_wins(golden).select("input", F.col("targets").alias("expected"))
+    expected = last_wins(golden).select("input", F.col("targets").alias("_targets"))
     none = F.array().cast(TARGETS)
 
     def clean(c: Column) -> Column:
         return F.filter(F.coalesce(c, none), lambda t: t.isNotNull())
 
     out = predictions.join(expected, "input", "left")
-    return out.withColumn("predicted", clean(F.col("parsed_targets"))).withColumn("expected", clean(F.col("expected")))
+    return out.withColumn("predicted", clean(F.col("parsed_targets"))).withColumn("expected", clean(F.col("_targets")))
 
 
 def _norm(c: Column, upper: bool = True) -> Column:
@@ -90,27 +90,24 @@ def category_match(p: Column, e: Column) -> Column:
     )
 
 
+def _norm_text(x: str | None) -> str | None:
+    return None if x is None else x.strip().lower()
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def _ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Similarity of each predicted with each expected expression, both normalised."""
+    """Similarity of each predicted with each expected expression where neither is null or contains the other; null if no pair needs it."""
     for p, e in batches:
-        yield pd.Series(
-            [
-                None if a is None or b is None
-                else [[None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for y in b] for x in a]
-                for a, b in zip(p, e)
-            ]
-        )
-
-
-def expression_ratios(p: Column, e: Column) -> Column:
-    """Matrix of similarities of date expressions, only where some pair needs it: neither is null and none contains the other."""
-    def names(xs: Column) -> Column:
-        return F.transform(xs, lambda t: F.lower(strip(t["date_raw_expression"])))
-
-    a, b = names(p), names(e)
-    needed = F.exists(a, lambda x: F.exists(b, lambda y: ~F.contains(x, y) & ~F.contains(y, x)))
-    return _ratios(F.when(needed, a), F.when(needed, b))
+        out = []
+        for a, b in zip(p, e):
+            xs = [] if a is None else [_norm_text(x) for x in a]
+            ys = [] if b is None else [_norm_text(y) for y in b]
+            needed = [[x is not None and y is not None and x not in y and y not in x for y in ys] for x in xs]
+            if not any(map(any, needed)):
+                out.append(None)
+                continue
+            out.append([[SequenceMatcher(None, x, y).ratio() if k else None for y, k in zip(ys, row)] for x, row in zip(xs, needed)])
+        yield pd.Series(out, dtype=object)
 
 
 def _expression_score(x: Column, y: Column, ratio: Column) -> Column:
@@ -148,11 +145,18 @@ def greedy(rows: DataFrame) -> DataFrame:
     accuracy a score must be above 0; for the breakdown any free target will do. Pair scores are computed once and serve both.
     """
     p, e = F.col("predicted"), F.col("expected")
-    work = rows.withColumn("_ratios", expression_ratios(p, e))
-    matrix = F.transform(
-        p, lambda t, i: F.transform(e, lambda x, j: pair(t, x, F.get(F.get(F.col("_ratios"), i), j)))
-    )
-    work = work.withColumn("_pairs", matrix)
+    # the Python function reads plain columns and its result is zipped in: neither its arguments nor lambdas may hold the other
+    none = F.lit(None)
+    raw_p, raw_e = F.coalesce("parsed_targets", F.array().cast(TARGETS)), F.coalesce("_targets", F.array().cast(TARGETS))
+    work = rows.withColumn("_ratios", _ratios(F.col("parsed_targets.date_raw_expression"), F.col("_targets.date_raw_expression")))
+    by_row = F.coalesce(F.col("_ratios"), F.transform(raw_p, lambda _: none.cast("array<double>")))
+
+    def scored(t: Column, row: Column) -> Column:
+        cells = F.zip_with(raw_e, F.coalesce(row, F.transform(raw_e, lambda _: none.cast("double"))), lambda x, q: F.struct(x.alias("x"), q.alias("q")))
+        return F.transform(F.filter(cells, lambda c: c["x"].isNotNull()), lambda c: pair(t, c["x"], c["q"]))
+
+    pairs = F.filter(F.zip_with(raw_p, by_row, lambda t, row: F.struct(t.alias("t"), row.alias("row"))), lambda r: r["t"].isNotNull())
+    work = work.withColumn("_pairs", F.transform(pairs, lambda r: scored(r["t"], r["row"])))
     state = "struct<used:array<int>,total:double,errors:array<struct<" + ",".join(f"{k}_error:boolean" for k in ERRORS) + ">>>"
 
     def walk(least: float) -> Column:
@@ -199,6 +203,11 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [F.round(F.when(none, 1.0).otherwise(c), 4).alias(k) for c, k in ((precision, "precision"), (recall, "recall"), (f1, "f1_score"))]
 
 
+def _flagged(field: str) -> Column:
+    """Number of matched pairs that have an error in a field."""
+    return F.size(F.filter("error_breakdown", lambda x: x[f"{field}_error"]))
+
+
 def report(entries: DataFrame, *by: str) -> DataFrame:
     """One row (for each value of ``by``): means, micro-averaged scores and error totals over evaluated entries.
 
@@ -207,8 +216,7 @@ def report(entries: DataFrame, *by: str) -> DataFrame:
     c = "transaction_counts."
     sums = [F.coalesce(F.sum(c + k), F.lit(0)).alias(a) for k, a in (("true_positives", "tp"), ("false_positives", "fp"), ("false_negatives", "fn"), ("expected", "expected"))]
     errors = [
-        F.coalesce(F.sum(F.size(F.filter("error_breakdown", lambda x, k=k: x[f"{k}_error"])) + F.col(c + "false_negatives")), F.lit(0)).alias(f"{k}_errors")
-        for k in ERRORS
+        F.coalesce(F.sum(_flagged(k) + F.col(c + "false_negatives")), F.lit(0)).alias(f"{k}_errors") for k in ERRORS
     ]
     means = [F.coalesce(F.avg(k), F.lit(0.0)).alias(k) for k in ("strict_json_score", "entity_accuracy", "category_match")]
     totals = entries.groupBy(*by).agg(

@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from talliflow.plans import problems
+from talliflow.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = reference.QUERIES | problems.QUERIES
+SQL = reference.SQL | problems.SQL

@@ -65,4 +65,36 @@ QUERIES = {
     "p6_entries": p6_entries,
     **{f"p6_{kind}_table": _typed(kind) for kind in nested.FIELDS},
 }
-SQL: dict[str, str] = {}
+
+
+def _present(x: str) -> str:
+    return f"CASE WHEN json_type({x}) <> 'NULL' THEN {x} END"
+
+
+def _member(x: str, *names: str) -> str:
+    return "coalesce(" + ", ".join(_present(f"json_extract({x}, '$.{n}')") for n in names) + ")"
+
+
+def _list(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN CAST({x} AS JSON[]) WHEN 'OBJECT' THEN [{x}] END"
+
+
+def _children(kind: str, items: str, source: str = "e", parent: str = "0") -> str:
+    return (
+        f"SELECT report_id, entry_no, '{kind}' AS item_kind, {parent} AS parent_no, unnest(range(1, len({items}) + 1))::INT AS item_no, unnest({items}) AS node FROM {source}"
+    )
+
+
+#: The items of all reports by DuckDB's JSON functions.
+_P6 = f"""WITH r AS (SELECT report_id, {_member('payload::JSON', 'per_entry_results', 'entries')} AS es FROM eval_reports),
+l AS (SELECT report_id, {_list('es')} AS es FROM r),
+x AS (SELECT report_id, unnest(range(1, len(es) + 1))::INT AS entry_no, unnest(es) AS entry FROM l),
+e AS (SELECT report_id, entry_no, {_member('entry', 'parsed_targets', 'target')} AS t, {_member('entry', 'transaction_counts')} AS c,
+  {_member('entry', 'error_breakdown')} AS b, {_member(_member('entry', 'conversation'), 'outputs', 'output')} AS o FROM x WHERE json_type(entry) <> 'NULL'),
+outs AS ({_children('output', _list('o'))}),
+h AS (SELECT report_id, entry_no, item_no AS parent, {_member('node', 'history')} AS hs FROM outs),
+every AS ({_children('target', _list('t'))} UNION ALL {_children('error', _list('b'))} UNION ALL SELECT * FROM outs
+  UNION ALL {_children('history', _list('hs'), 'h', 'parent')}
+  UNION ALL SELECT report_id, entry_no, 'counts', 0, 1, c FROM e WHERE json_type(c) = 'OBJECT')
+SELECT report_id, entry_no, item_kind, parent_no::INT AS parent_no, item_no FROM every WHERE json_type(node) <> 'NULL'"""
+SQL: dict[str, str] = {"p6_found": _P6}
