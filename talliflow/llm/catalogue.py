@@ -136,4 +136,17 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_unmatched": p7_unmatched,
 }
-SQL: dict[str, str] = {}
+
+
+def _loose(x: str) -> str:
+    return f"regexp_replace(lower(trim({x}, E' \\t\\n\\r')), '[\\s_-]+', '_', 'g')"
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH t AS (SELECT unnest(targets) AS t FROM golden),
+  k AS (SELECT target_key, share, min_rows, {_loose("split_part(target_key, ':', 1)")} AS a, {_loose("split_part(target_key, ':', 2)")} AS b FROM sample_targets),
+  u AS (SELECT k.target_key FROM t JOIN k ON {_loose('t.type')} = a AND {_loose('t.category')} = b),
+  c AS (SELECT target_key, count(*) AS n FROM u GROUP BY 1)
+  SELECT k.target_key FROM k LEFT JOIN c USING (target_key)
+  WHERE coalesce(n, 0) < share * {SAMPLE_FRACTION} * (SELECT count(*) FROM u) OR coalesce(n, 0) < min_rows""",
+}
