@@ -452,13 +452,13 @@ def same_messages(rows: DataFrame, id_col: str, text_col: str, bits: int = 64) -
 
 
 def collapse(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One record per message, the one with the smallest id, with ``n_copies``; other columns pass through.
+    """One record per message, the one with the smallest id, with ``n_copies``; other columns pass through, whatever their names.
 
-    Rows with a null text stay as they are, each with one copy.
+    Rows with a null text stay as they are, each with one copy. A column ``n_copies`` of the input is replaced.
     """
-    classes = same_messages(rows, id_col, text_col)
-    counts = classes.groupBy("kept_id").agg(F.count("*").alias("_n"))
-    copies = classes.where("id <> kept_id").select(F.col("id").alias("_id"))
-    left = rows.join(copies, F.col(id_col) == F.col("_id"), "left_anti")
-    out = left.join(counts, F.col(id_col) == F.col("kept_id"), "left")
-    return out.withColumn("n_copies", F.coalesce("_n", F.lit(1))).drop("kept_id", "_n")
+    classes = same_messages(rows, id_col, text_col).select(F.col("id").alias("__id"), F.col("kept_id").alias("__kept"))
+    counts = classes.groupBy("__kept").agg(F.count("*").alias("__n"))
+    copies = classes.where("__id <> __kept").select("__id")
+    left = rows.drop("n_copies").join(copies, F.col(id_col) == F.col("__id"), "left_anti")
+    out = left.join(counts, F.col(id_col) == F.col("__kept"), "left")
+    return out.withColumn("n_copies", F.coalesce("__n", F.lit(1))).drop("__kept", "__n")
