@@ -87,11 +87,13 @@ class Matcher:
 
     def __init__(self, entries: list[tuple[str, str | None]], extra: dict[str, list[str]]) -> None:
         self.entries = []
+        # a word of an entry's own name says something
+        self.fillers = FILLERS - {w for name, _ in entries for w in words(name) if len(w) > 2}
         phrases: dict[str, set[str]] = {}
         self.alone: dict[str, set[str]] = {}
         for name, label in entries:
-            tokens = [w for w in words(name) if w not in FILLERS]
-            spoken = [w for w in words(label or "") if w not in FILLERS]
+            tokens = [w for w in words(name) if w not in self.fillers]
+            spoken = [w for w in words(label or "") if w not in self.fillers]
             self.entries.append(Entry(name, tuple(tokens)))
             names = [tokens, tokens[::-1], spoken, ["".join(tokens)], *([words(a) for a in extra.get(name, [])])]
             for n in names:
@@ -114,7 +116,7 @@ class Matcher:
             self.found.make_automaton()
 
     def match(self, value: str) -> str | None:
-        tokens = [w for w in words(value) if w not in FILLERS]
+        tokens = [w for w in words(value) if w not in self.fillers]
         if not tokens:
             return None
         return self.mention(tokens) or self.similar(tokens)

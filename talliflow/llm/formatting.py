@@ -35,6 +35,8 @@ CHUNK_CHARS = 4_000_000
 SALT_ROWS = 50_000
 #: A group of at least this share of all rows is hot; there can be no more than its inverse of them.
 HOT_SHARE = 1 / 64
+#: Seeds that are tried, each only if a comparison refuted a collision under the one before.
+ROUNDS = 8
 
 
 def char_class(cp: int) -> int:
@@ -400,9 +402,10 @@ def _one_round(texts: DataFrame, seed: int, bits: int) -> tuple[DataFrame, bool]
     groups = rows.groupBy("l1", "l2").agg(
         F.count("*").alias("n"),
         F.min("id").alias("low"),
-        F.min(F.when(F.col("m1").isNotNull(), F.col("id"))).alias("fielded"),
+        # one labelled row stands for the group: its id and both halves of its hash belong together
+        F.max_by("id", "m1").alias("fielded"),
         F.max("m1").alias("m1"),
-        F.max("m2").alias("m2"),
+        F.max_by("m2", "m1").alias("m2"),
     )
     plain = groups.where("m1 is null and n > 1").select(
         "l1", "l2", "n", F.col("low").alias("rep"), F.col("low").alias("kept"), F.col("low").alias("head")
@@ -443,12 +446,11 @@ def same_messages(rows: DataFrame, id_col: str, text_col: str, bits: int = 64) -
     again with other seeds, so a collision neither joins nor loses rows. Ids are unique.
     """
     texts = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    seed = 0
-    while True:
+    for seed in range(ROUNDS):
         members, sure = _one_round(texts, seed, bits if seed == 0 else 64)
         if sure:
             return members.select("id", F.col("kept").alias("kept_id"))
-        seed += 1
+    raise RuntimeError(f"hashes collided under {ROUNDS} seeds")
 
 
 def collapse(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
