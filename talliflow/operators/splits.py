@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from talliflow.functions.udfs import dumps
 
-#: Hexadecimal digits of the digest that make the buckets of a ranking.
-BUCKET_DIGITS = 3
+#: Rows of one bucket of a ranking, about, and hexadecimal digits of the digest that make the buckets, at most.
+BUCKET_ROWS, MAX_DIGITS = 100_000, 5
 #: Candidates that few-shot examples are chosen from.
 POOL = 64
 
@@ -21,15 +21,16 @@ def digest(seed: str, *ids: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(i.cast("string") for i in ids)))
 
 
-def shuffled_rank(rows: DataFrame, seed: str, id_col: str) -> DataFrame:
-    """``rows`` with ``rank``, from 1, in a random order of all rows.
+def shuffled_rank(rows: DataFrame, seed: str, id_col: str, n: int) -> DataFrame:
+    """``rows``, about ``n`` of them, with ``rank``, from 1, in a random order of all rows.
 
-    Buckets by the first digits of the digest are ranked apart and the sizes of the 16 ** BUCKET_DIGITS buckets added, so no task sorts
-    the table. Rows with the same id come in any order.
+    Buckets by the first digits of the digest are ranked apart and the sizes of the buckets before added, so no task sorts the table. Rows
+    with the same id come in any order.
     """
-    h = rows.withColumn("_d", digest(seed, F.col(id_col))).withColumn("_b", F.substring("_d", 1, BUCKET_DIGITS))
+    digits = min(MAX_DIGITS, max(1, math.ceil(math.log(max(n, 1) / BUCKET_ROWS, 16)))) if n > BUCKET_ROWS else 1
+    h = rows.withColumn("_d", digest(seed, F.col(id_col))).withColumn("_b", F.substring("_d", 1, digits))
     sizes = h.groupBy("_b").agg(F.count("*").alias("_n"))
-    # at most 4096 rows
+    # at most 16 ** MAX_DIGITS rows of two numbers
     before = sizes.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     inside = h.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("_d", id_col)))
     out = inside.join(F.broadcast(before), "_b")
@@ -39,7 +40,7 @@ def shuffled_rank(rows: DataFrame, seed: str, id_col: str) -> DataFrame:
 def split(rows: DataFrame, id_col: str, shares: dict[str, float], seed: str = "42") -> DataFrame:
     """``rows`` with ``part``: exact sizes, each share rounded down, the rest to the last part."""
     n = rows.count()
-    ranked = shuffled_rank(rows, seed, id_col)
+    ranked = shuffled_rank(rows, seed, id_col, n)
     part, upto, names = None, 0, list(shares)
     for name in names[:-1]:
         upto += math.floor(n * shares[name])
