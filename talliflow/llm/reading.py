@@ -202,8 +202,8 @@ def calibrate(means: np.ndarray, wanted: np.ndarray, steps: int = 400) -> tuple[
 def train(texts: list[str], labels: list[dict[int, float]]) -> Leveller | None:
     """Models from labelled texts; ``labels`` are shares of raters by level. None if no text has a sentence.
 
-    Documents in the second half calibrate models of the first and the other way round, so the calibration sees documents as new as
-    all others; the final models use both.
+    Models are fitted on either half of the documents; each half calibrates the models of the other, so the calibration sees documents as
+    new as all others are. The final models are the mean of both halves'.
     """
     levels = sorted({k for x in labels for k in x})
     found: list[str] = []
@@ -227,14 +227,19 @@ def train(texts: list[str], labels: list[dict[int, float]]) -> Leveller | None:
     half = owner % 2 == 0
     k = len(levels)
     means, keep = np.zeros((len(texts), k)), np.zeros(len(texts), bool)
+    pairs = []
     for rows, side in ((half, 1), (~half, 0)):
-        if rows.any() and (~rows).any():
-            one = Leveller(levels, *models(rows), np.eye(k), np.zeros(k))
-            other = [i for i in range(side, len(texts), 2)]
-            got, n = one.document_means([texts[i] for i in other])
-            means[other], keep[other] = got, n > 0
+        if not rows.any():
+            continue
+        pairs.append(models(rows))
+        one = Leveller(levels, *pairs[-1], np.eye(k), np.zeros(k))
+        other = list(range(side, len(texts), 2))
+        got, n = one.document_means([texts[i] for i in other])
+        means[other], keep[other] = got, n > 0
     slope, shift = calibrate(means[keep], target[keep]) if keep.sum() >= CALIBRATE_FROM else (np.eye(k), np.zeros(k))
-    return Leveller(levels, *models(np.ones(len(found), bool)), slope, shift)
+    # the mean of linear models has the mean of their weights
+    chars, words = (Model(np.mean([m.weights for m in ms], 0), np.mean([m.bias for m in ms], 0)) for ms in zip(*pairs))
+    return Leveller(levels, chars, words, slope, shift)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[list[str], list[dict[int, float]]]:
