@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talliflow.operators.profile import items
 from talliflow.session import shared_path
 
 #: Variants of one seed, at most.
 PER_SEED = 5
+#: Buckets in which a key's first seeds are looked for.
+SEED_BUCKETS = 256
 
 
 def key_of(t: Column) -> Column:
@@ -21,7 +24,7 @@ def key_of(t: Column) -> Column:
 
 def category_gaps(golden: DataFrame, wanted: DataFrame) -> DataFrame:
     """``ord, target_key, target, current, gap`` of every wanted key; counts of other keys are dropped, absent ones are 0."""
-    counts = golden.select(F.explode("targets").alias("t")).where("t is not null").groupBy(key_of(F.col("t")).alias("target_key")).agg(F.count("*").alias("n"))
+    counts = items(golden, "targets", ["type", "category"]).groupBy(key_of(F.col("t")).alias("target_key")).agg(F.count("*").alias("n"))
     out = wanted.join(counts, "target_key", "left").withColumn("current", F.coalesce("n", F.lit(0)))
     return out.select("ord", "target_key", "target", "current", F.greatest(F.lit(0), F.col("target") - F.col("current")).alias("gap"))
 
@@ -33,7 +36,7 @@ def gap_summary(gaps: DataFrame) -> DataFrame:
 
 def seeds(golden: DataFrame, keys: DataFrame) -> DataFrame:
     """``target_key, input, first_entry``: distinct messages of the wanted keys with the entry that names them first."""
-    rows = golden.where("input is not null").select("entry_id", "input", F.explode("targets").alias("t")).where("t is not null")
+    rows = golden.where("input is not null").select("entry_id", "input", F.explode(F.arrays_zip("targets.type", "targets.category")).alias("t"))
     rows = rows.select("entry_id", "input", key_of(F.col("t")).alias("target_key")).join(keys.select("target_key"), "target_key", "left_semi")
     return rows.groupBy("target_key", "input").agg(F.min("entry_id").alias("first_entry"))
 
@@ -41,11 +44,17 @@ def seeds(golden: DataFrame, keys: DataFrame) -> DataFrame:
 def plan_per_key(golden: DataFrame, gaps: DataFrame) -> DataFrame:
     """``target_key, input, n_variants``: each key's gap spread over its seeds in order, at most ``PER_SEED`` each.
 
-    Keys are looked at one by one, so a message may serve two keys. Only the first ``ceil(gap / PER_SEED)`` seeds of a key are ranked.
+    Keys are looked at one by one, so a message may serve two keys. A key's first seeds are picked within hash buckets and then among the picked,
+    as many as the largest gap needs, so no task ranks all seeds of a key.
     """
     open_gaps = gaps.where("gap > 0").select("target_key", "gap")
-    first = W.partitionBy("target_key").orderBy("first_entry", "input")
-    ranked = seeds(golden, open_gaps).withColumn("rn", F.row_number().over(first)).join(open_gaps, "target_key")
+    largest = open_gaps.agg(F.max("gap")).first()[0] or 0
+    need = -(-largest // PER_SEED)
+    own = seeds(golden, open_gaps).withColumn("_b", F.pmod(F.xxhash64("input"), F.lit(SEED_BUCKETS)))
+    order = ("first_entry", "input")
+    some = own.withColumn("rn", F.row_number().over(W.partitionBy("target_key", "_b").orderBy(*order))).where(F.col("rn") <= need)
+    ranked = some.withColumn("rn", F.row_number().over(W.partitionBy("target_key").orderBy(*order))).where(F.col("rn") <= need)
+    ranked = ranked.join(open_gaps, "target_key")
     n = F.least(F.lit(PER_SEED), F.col("gap") - PER_SEED * (F.col("rn") - 1))
     return ranked.withColumn("n_variants", n).where("n_variants > 0").select("target_key", "input", "rn", "n_variants")
 

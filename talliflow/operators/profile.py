@@ -14,15 +14,17 @@ SKEW_PERCENT, COVERAGE_SHARE, MULTI_SHARE = 70, 0.5, 0.2
 USD_MARKERS = ["usd", "dolar", "dólares", "dolares", "usds", "dólar"]
 
 
-def items(rows: DataFrame, column: str, *keep: str) -> DataFrame:
-    """One row per non-null item of an array column: ``keep``, ``pos`` from 0 and ``t``."""
-    return rows.select(*keep, F.posexplode(column).alias("pos", "t")).where("t is not null")
+def items(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """One row per item of an array column with the given fields as ``t``. A null item is one whose fields are all null.
+
+    The fields' own arrays are zipped, so the scan reads these fields and no others.
+    """
+    return rows.select(F.explode(F.arrays_zip(*(F.col(f"{column}.{f}").alias(f) for f in fields))).alias("t"))
 
 
 def count_by_type(rows: DataFrame, column: str) -> DataFrame:
     """Items by type; a missing type is ``unknown``."""
-    t = F.coalesce(F.col("t.type"), F.lit("unknown"))
-    return items(rows, column).groupBy(t.alias("type")).agg(F.count("*").alias("n"))
+    return items(rows, column, ["type"]).groupBy(F.coalesce(F.col("t.type"), F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
 
 
 def totals(conversations: DataFrame, golden: DataFrame) -> DataFrame:
@@ -36,12 +38,12 @@ def totals(conversations: DataFrame, golden: DataFrame) -> DataFrame:
 
 def category_counts(golden: DataFrame) -> DataFrame:
     """Targets by type and category."""
-    return items(golden, "targets").groupBy(F.col("t.type").alias("type"), F.col("t.category").alias("category")).agg(F.count("*").alias("n"))
+    return items(golden, "targets", ["type", "category"]).groupBy(F.col("t.type").alias("type"), F.col("t.category").alias("category")).agg(F.count("*").alias("n"))
 
 
 def targets_per_entry(golden: DataFrame) -> DataFrame:
     """Entries by their number of targets; null arrays have none."""
-    k = F.coalesce(F.size(F.filter("targets", lambda t: t.isNotNull())), F.lit(0))
+    k = F.coalesce(F.size("targets.type"), F.lit(0))
     return golden.groupBy(k.alias("n_targets")).agg(F.count("*").alias("n"))
 
 
@@ -71,20 +73,20 @@ def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 def amount_statistics(golden: DataFrame) -> DataFrame:
     """Minimum, maximum, mean and upper median of the amounts by type; null amounts don't count."""
-    rows = items(golden, "targets").select(F.col("t.type").alias("type"), F.col("t.amount").alias("amount")).where("amount is not null")
+    rows = items(golden, "targets", ["type", "amount"]).select(F.col("t.type").alias("type"), F.col("t.amount").alias("amount")).where("amount is not null")
     simple = rows.groupBy("type").agg(F.min("amount").alias("low"), F.max("amount").alias("high"), F.avg("amount").alias("mean"), F.count("*").alias("n"))
     middle = upper_median(rows, "type", "amount").withColumnRenamed("type", "_t")
     return simple.join(middle, F.col("type").eqNullSafe(F.col("_t"))).drop("_t")
 
 
 def currency_counts(golden: DataFrame) -> DataFrame:
-    return items(golden, "targets").groupBy(F.col("t.currency").alias("currency")).agg(F.count("*").alias("n"))
+    return items(golden, "targets", ["currency"]).groupBy(F.col("t.currency").alias("currency")).agg(F.count("*").alias("n"))
 
 
 def type_percentages(golden: DataFrame) -> DataFrame:
     """One row: percentages of expenses and incomes, rounded to one digit, 0 of nothing."""
     kind = F.upper(F.trim(F.col("t.type")))
-    counts = items(golden, "targets").agg(
+    counts = items(golden, "targets", ["type"]).agg(
         F.count("*").alias("n"), F.count_if(kind == "EXPENSE").alias("e"), F.count_if(kind == "INCOME").alias("i")
     )
     def pct(c: str) -> Column:
@@ -97,12 +99,12 @@ def recommendations(golden: DataFrame, categories: DataFrame) -> DataFrame:
     """Remarks on balance, coverage and entries of several targets, as rows (ord, kind, topic, value)."""
     p = type_percentages(golden)
     kind = F.upper(F.trim(F.col("t.type")))
-    used = items(golden, "targets").agg(
+    used = items(golden, "targets", ["type", "category"]).agg(
         F.countDistinct(F.when(kind == "EXPENSE", F.col("t.category"))).alias("used_e"),
         F.countDistinct(F.when(kind == "INCOME", F.col("t.category"))).alias("used_i"),
     )
     dims = categories.agg(F.count_if(F.col("kind") == "expense").alias("all_e"), F.count_if(F.col("kind") == "income").alias("all_i"))
-    multi = golden.agg(F.count_if(F.size("targets") > 1).alias("multi"), F.count("*").alias("entries"))
+    multi = golden.agg(F.count_if(F.size("targets.type") > 1).alias("multi"), F.count("*").alias("entries"))
     one = None
     for part in (p, used, dims, multi):  # one row each
         part = part.withColumn("_k", F.lit(1))
@@ -131,12 +133,12 @@ def with_shares(counts: DataFrame, *within: str) -> DataFrame:
 
 
 def source_counts(golden: DataFrame) -> DataFrame:
-    return golden.groupBy(F.col("metadata.source").alias("source")).agg(F.count("*").alias("n"), F.sum(F.size("targets")).alias("targets"))
+    return golden.groupBy(F.col("metadata.source").alias("source")).agg(F.count("*").alias("n"), F.sum(F.size("targets.type")).alias("targets"))
 
 
 def corpus_profile(golden: DataFrame) -> DataFrame:
     """One row: entries, targets, mean targets per entry and shares of targets by kind, date and size."""
-    t = items(golden, "targets")
+    t = items(golden, "targets", ["type", "amount", "date_delta_days", "date_raw_expression"])
     part = {
         "expense_share": F.upper(F.trim(F.col("t.type"))) == "EXPENSE",
         "absolute_date_share": F.col("t.date_delta_days").isNull() & F.col("t.date_raw_expression").isNotNull(),
@@ -152,15 +154,16 @@ def corpus_profile(golden: DataFrame) -> DataFrame:
 
 def features(golden: DataFrame) -> DataFrame:
     """One row: targets in dollars, targets with a date that isn't today's, entries without and with several targets."""
-    ts = F.coalesce(F.filter("targets", lambda t: t.isNotNull()), F.array().cast(golden.schema["targets"].dataType))
-    def count(cond) -> Column:
-        return F.coalesce(F.sum(F.size(F.filter(ts, cond))), F.lit(0))
+    def count(cs: Column, cond) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter(cs, cond))), F.lit(0))
 
+    dates = F.arrays_zip(F.col("targets.date_delta_days").alias("d"), F.col("targets.date_raw_expression").alias("x"))
+    n = F.coalesce(F.size("targets.currency"), F.lit(0))
     return golden.agg(
-        count(lambda t: F.upper(F.trim(F.coalesce(t["currency"], F.lit("")))) == "USD").alias("usd"),
-        F.count_if(F.size(ts) == 0).alias("non_transactional"),
-        F.count_if(F.size(ts) > 1).alias("multi_transaction"),
-        count(lambda t: (F.coalesce(t["date_delta_days"], F.lit(0)) != 0) | t["date_raw_expression"].isNotNull()).alias("dated"),
+        count(F.col("targets.currency"), lambda c: F.upper(F.trim(F.coalesce(c, F.lit("")))) == "USD").alias("usd"),
+        F.count_if(n == 0).alias("non_transactional"),
+        F.count_if(n > 1).alias("multi_transaction"),
+        count(dates, lambda t: (F.coalesce(t["d"], F.lit(0)) != 0) | t["x"].isNotNull()).alias("dated"),
     )
 
 
@@ -169,17 +172,15 @@ def clean_corpus(golden: DataFrame, longest: int = 500, largest: float = 3e6) ->
 
     Null messages are kept; they are no duplicates of each other.
     """
-    ok = F.coalesce(F.length("input") <= longest, F.lit(True)) & ~F.coalesce(
-        F.exists("targets", lambda t: F.coalesce(t["amount"] > largest, F.lit(False))), F.lit(False)
-    )
-    good = golden.where(ok)
+    large = F.coalesce(F.exists("targets.amount", lambda a: F.coalesce(a > largest, F.lit(False))), F.lit(False))
+    good = golden.where(F.coalesce(F.length("input") <= longest, F.lit(True)) & ~large)
     firsts = good.where("input is not null").groupBy("input").agg(F.min("entry_id").alias("entry_id")).select("entry_id")
     return good.join(firsts.union(good.where("input is null").select("entry_id")), "entry_id", "left_semi")
 
 
 def dollar_messages(golden: DataFrame) -> DataFrame:
     """Entries with a target in dollars, with whether the message says so."""
-    usd = F.exists("targets", lambda t: F.coalesce(t["currency"] == "USD", F.lit(False)))
+    usd = F.exists("targets.currency", lambda c: F.coalesce(c == "USD", F.lit(False)))
     low = F.lower("input")
     says = F.coalesce(F.exists(F.array(*(F.lit(m) for m in USD_MARKERS)), lambda m: F.contains(low, m)), F.lit(False))
     return golden.where(usd).select("entry_id", says.alias("says_dollars"), (plain(F.col("input")) != low).alias("has_accents"))

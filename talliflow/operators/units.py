@@ -223,7 +223,7 @@ def currency_column(terms: list[tuple[str, float, str | None]], value: Column) -
 def common_units(
     golden: DataFrame, terms: DataFrame, rates: DataFrame, sources: DataFrame, home: str = "ARS"
 ) -> DataFrame:
-    """One row per non-null target: its value in the home currency and how it was found.
+    """One row per target (a null one has no amount): its value in the home currency and how it was found.
 
     Columns: ``entry_id, target_no`` (from 1, null elements count), ``amount, currency, scale, factor, rate, value``
     (DECIMAL in the home currency, null where no rate is known or the amount is null, not a number or of
@@ -235,7 +235,14 @@ def common_units(
     dims = sources.groupBy("source").agg(F.max("amount_scale").alias("scale"))
     fx = rates.groupBy("rate_month", "currency").agg(F.max("ars_per_unit").alias("rate"))
     entries = (
-        golden.select("entry_id", "input", "conversation_date", "targets", F.col("metadata.source").alias("source"))
+        golden.select(
+            "entry_id",
+            "input",
+            "conversation_date",
+            # of the targets the scan reads these two fields only
+            F.arrays_zip("targets.amount", "targets.currency").alias("targets"),
+            F.col("metadata.source").alias("source"),
+        )
         .where(F.size("targets") > 0)
         .join(dims, "source", "left")
         .withColumn("mentions", mention_column(rows, F.col("input")))
@@ -247,7 +254,7 @@ def common_units(
         "mentions",
         F.size("targets").alias("n"),
         F.posexplode("targets").alias("pos", "target"),
-    ).where("target is not null")
+    )
     number = F.col("target.amount")
     place = F.when(F.size("mentions") == F.col("n"), F.get("mentions", F.col("pos")))
     # where the counts differ, the mention that has this very number, else the one in this place

@@ -31,8 +31,7 @@ def query(sql: str | None = None):
 #: Shared parts of the SQL: curated entries by message (the last wins) and predictions beside what they should have.
 LAST = """last AS (SELECT input, arg_max(targets, entry_id) AS targets, max(entry_id) AS entry_id FROM golden WHERE input IS NOT NULL GROUP BY input)"""
 MATCHED = f"""{LAST}, m AS (
-  SELECT p.pred_id, p.model, list_filter(coalesce(p.parsed_targets, []), lambda t: t IS NOT NULL) AS p,
-         list_filter(coalesce(l.targets, []), lambda t: t IS NOT NULL) AS e
+  SELECT p.pred_id, p.model, coalesce(p.parsed_targets, []) AS p, coalesce(l.targets, []) AS e
   FROM predictions p LEFT JOIN last l USING (input)),
 k AS (SELECT pred_id, model, len(p) AS np, len(e) AS ne,
         list_transform(p, lambda t: coalesce(t.amount::VARCHAR, '-') || '|' || upper(coalesce(t.type, ''))) AS pk,
@@ -62,8 +61,10 @@ def _golden(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _counted(spark: SparkSession, d: str) -> DataFrame:
-    rows = scoring.matched(table(spark, d, "predictions").select("pred_id", "model", "input", "parsed_targets"), _golden(spark, d).select("entry_id", "input", "targets"))
-    return rows.withColumn("transaction_counts", scoring.transaction_counts(F.col("predicted"), F.col("expected")))
+    fields = {"amount": "double", "type": "string"}
+    rows = scoring.matched_fields(table(spark, d, "predictions"), _golden(spark, d), fields, "pred_id", "model")
+    keys = (scoring.transaction_keys(F.col(f"{side}_amount"), F.col(f"{side}_type")) for side in "pe")
+    return rows.select("pred_id", "model", scoring.transaction_counts(*keys).alias("transaction_counts"))
 
 
 def _totals(rows: DataFrame, *by: str) -> DataFrame:
@@ -91,8 +92,8 @@ def eval_by_model(spark, d):
 
 @query("WITH " + COUNTS + " SELECT pred_id, round(cm, 9) AS category_match FROM c")
 def eval_category(spark, d):
-    rows = scoring.matched(table(spark, d, "predictions").select("pred_id", "input", "parsed_targets"), _golden(spark, d).select("entry_id", "input", "targets"))
-    return rows.select("pred_id", F.round(scoring.category_match(F.col("predicted"), F.col("expected")), 9).alias("category_match"))
+    rows = scoring.matched_fields(table(spark, d, "predictions"), _golden(spark, d), {"category": "string"}, "pred_id")
+    return rows.select("pred_id", F.round(scoring.category_match(F.col("p_category"), F.col("e_category")), 9).alias("category_match"))
 
 
 def _entries(spark, d):
@@ -143,12 +144,12 @@ def parse_outcomes(spark, d):
     return rows.groupBy("model", kind.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT coalesce(o.type, 'unknown') AS type, count(*) AS n FROM (SELECT unnest(outputs) AS o FROM conversations) WHERE o IS NOT NULL GROUP BY 1")
+@query("SELECT coalesce(o.type, 'unknown') AS type, count(*) AS n FROM (SELECT unnest(outputs) AS o FROM conversations) GROUP BY 1")
 def stats_conversation_types(spark, d):
     return profile.count_by_type(table(spark, d, "conversations"), "outputs")
 
 
-@query(f"WITH {ITEMS} SELECT coalesce(t.type, 'unknown') AS type, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY 1")
+@query(f"WITH {ITEMS} SELECT coalesce(t.type, 'unknown') AS type, count(*) AS n FROM t GROUP BY 1")
 def stats_golden_types(spark, d):
     return profile.count_by_type(_golden(spark, d), "targets")
 
@@ -158,13 +159,13 @@ def stats_totals(spark, d):
     return profile.totals(table(spark, d, "conversations"), _golden(spark, d))
 
 
-@query(f"WITH {ITEMS} SELECT t.type AS type, t.category AS category, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {ITEMS} SELECT t.type AS type, t.category AS category, count(*) AS n FROM t GROUP BY 1, 2")
 def category_counts(spark, d):
     return profile.category_counts(_golden(spark, d))
 
 
 @query(
-    f"WITH {ITEMS}, c AS (SELECT t.type AS type, t.category AS category, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY 1, 2) "
+    f"WITH {ITEMS}, c AS (SELECT t.type AS type, t.category AS category, count(*) AS n FROM t GROUP BY 1, 2) "
     "SELECT type, category, n, round(n / sum(n) OVER (PARTITION BY type), 9) AS share, round(n / max(n) OVER (PARTITION BY type), 9) AS width FROM c"
 )
 def category_shares(spark, d):
@@ -172,7 +173,7 @@ def category_shares(spark, d):
     return out.withColumns({k: F.round(k, 9) for k in ("share", "width")})
 
 
-@query("SELECT coalesce(len(list_filter(targets, lambda t: t IS NOT NULL)), 0)::INT AS n_targets, count(*) AS n FROM golden GROUP BY 1")
+@query("SELECT coalesce(len(targets), 0)::INT AS n_targets, count(*) AS n FROM golden GROUP BY 1")
 def targets_per_entry(spark, d):
     return profile.targets_per_entry(_golden(spark, d))
 
@@ -185,14 +186,14 @@ def amount_statistics(spark, d):
     return profile.amount_statistics(_golden(spark, d)).withColumn("mean", F.round("mean", 4))
 
 
-@query(f"WITH {ITEMS} SELECT t.currency AS currency, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY 1")
+@query(f"WITH {ITEMS} SELECT t.currency AS currency, count(*) AS n FROM t GROUP BY 1")
 def currency_counts(spark, d):
     return profile.currency_counts(_golden(spark, d))
 
 
 @query(
     f"WITH {ITEMS} SELECT count(*) AS targets, round(100.0 * count(*) FILTER (upper(trim(t.type)) = 'EXPENSE') / count(*), 1)::DOUBLE AS expense_pct, "
-    "round(100.0 * count(*) FILTER (upper(trim(t.type)) = 'INCOME') / count(*), 1)::DOUBLE AS income_pct FROM t WHERE t IS NOT NULL"
+    "round(100.0 * count(*) FILTER (upper(trim(t.type)) = 'INCOME') / count(*), 1)::DOUBLE AS income_pct FROM t"
 )
 def type_percentages(spark, d):
     return profile.type_percentages(_golden(spark, d))
@@ -209,10 +210,10 @@ def source_counts(spark, d):
 
 
 @query(
-    f"""WITH {ITEMS}, x AS (SELECT t FROM t WHERE t IS NOT NULL) SELECT (SELECT count(*) FROM golden) AS entries, count(*) AS targets,
+    f"""WITH {ITEMS}, x AS (SELECT t FROM t) SELECT (SELECT count(*) FROM golden) AS entries, count(*) AS targets,
   round(avg(coalesce(upper(trim(t.type)) = 'EXPENSE', false)::INT), 9) AS expense_share,
   round(avg((t.date_delta_days IS NULL AND t.date_raw_expression IS NOT NULL)::INT), 9) AS absolute_date_share,
-  round(avg((t.date_delta_days IS NOT DISTINCT FROM 0)::INT), 9) AS today_share, round(avg(coalesce(t.amount < 15000, false)::INT), 9) AS small_share,
+  round(avg(coalesce(t.date_delta_days = 0, false)::INT), 9) AS today_share, round(avg(coalesce(t.amount < 15000, false)::INT), 9) AS small_share,
   round(avg(coalesce(t.amount > 1000000, false)::INT), 9) AS large_share, round(count(*) / (SELECT count(*) FROM golden), 9) AS complexity FROM x"""
 )
 def corpus_profile(spark, d):
@@ -252,7 +253,7 @@ def _wanted(spark, d):
     return t.select("ord", "target_key", F.round(F.col("share") * 10000).cast("bigint").alias("target"))
 
 
-GAPS = f"""{ITEMS}, cnt AS (SELECT concat_ws(':', t.type, t.category) AS target_key, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY 1),
+GAPS = f"""{ITEMS}, cnt AS (SELECT concat_ws(':', t.type, t.category) AS target_key, count(*) AS n FROM t GROUP BY 1),
 gaps AS (SELECT s.ord, s.target_key, round(s.share * 10000)::BIGINT AS target, coalesce(n, 0) AS current,
   greatest(0, round(s.share * 10000)::BIGINT - coalesce(n, 0)) AS gap FROM sample_targets s LEFT JOIN cnt USING (target_key))"""
 

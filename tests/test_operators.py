@@ -183,7 +183,7 @@ def test_profile_edges(spark):
     assert sorted(r["entry_id"] for r in profile.clean_corpus(g).collect()) == [1, 3]
     (p,) = profile.type_percentages(g.where("false")).collect()
     assert (p["targets"], p["expense_pct"]) == (0, 0.0)
-    assert {r["n_targets"]: r["n"] for r in profile.targets_per_entry(g).collect()} == {4: 1, 0: 2, 1: 1}
+    assert {r["n_targets"]: r["n"] for r in profile.targets_per_entry(g).collect()} == {5: 1, 0: 2, 1: 1}
 
 
 def test_sources_and_sinks(spark, tmp_path):
