@@ -29,7 +29,7 @@ def random_start(seed: int) -> float:
 
 
 def usable_targets(golden: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``entry_id, target_no, target, target_key`` of the targets whose type and category equal a wanted key.
+    """``entry_id, target_no, target_key`` of the targets whose type and category equal a wanted key.
 
     Letter case, blanks at the ends and the kind of word separator don't count. Null targets, types and categories are
     not usable; rows that occur twice count twice.
@@ -38,14 +38,15 @@ def usable_targets(golden: DataFrame, wanted: DataFrame) -> DataFrame:
         "target_key",
         loose_key(F.split_part("target_key", F.lit(":"), F.lit(1))).alias("_t"),
         loose_key(F.split_part("target_key", F.lit(":"), F.lit(2))).alias("_c"),
-    ).dropDuplicates(["_t", "_c"])
-    flat = golden.select("entry_id", F.posexplode("targets").alias("p", "target")).where(
+    )
+    keys = keys.groupBy("_t", "_c").agg(F.min("target_key").alias("target_key"))
+    # of the targets the scan reads these two fields only
+    flat = golden.select("entry_id", F.posexplode(F.arrays_zip("targets.type", "targets.category")).alias("p", "target")).where(
         F.col("target.type").isNotNull() & F.col("target.category").isNotNull()
     )
     flat = flat.select(
         "entry_id",
         (F.col("p") + 1).alias("target_no"),
-        "target",
         loose_key(F.col("target.type")).alias("_t"),
         loose_key(F.col("target.category")).alias("_c"),
     )
