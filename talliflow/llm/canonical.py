@@ -201,7 +201,9 @@ def map_values(predictions: DataFrame, canonical: DataFrame) -> DataFrame:
     empty targets give nothing. A field without entries gives ``(unmatched)`` only.
     """
     lists = reference_list(canonical)
-    flat = predictions.select("pred_id", F.posexplode("parsed_targets").alias("p", "t")).select(
+    # of the targets the scan reads these two fields only
+    targets = F.arrays_zip("parsed_targets.category", "parsed_targets.currency")
+    flat = predictions.select("pred_id", F.posexplode(targets).alias("p", "t")).select(
         "pred_id",
         (F.col("p") + 1).alias("target_no"),
         F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t.{f}").alias("value")) for f in ("category", "currency")))),
