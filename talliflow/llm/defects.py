@@ -73,6 +73,7 @@ _WORDS = {
 MARKERS = {
     a: set(_WORDS[a].split()) - {w for b in _WORDS if b != a for w in _WORDS[b].split()} for a in _WORDS
 }
+_LANGUAGE = {w: k for k, ws in MARKERS.items() for w in ws}
 #: Language of a message in which no word tells one: the data's own.
 HOME = "es"
 
@@ -102,6 +103,8 @@ def _fold_tables() -> tuple[dict, dict, dict]:
 
 
 _HIDDEN, _LOW, _BARE = _fold_tables()
+_ANY_HIDDEN = re.compile("[" + "".join(re.escape(chr(c)) for c in _HIDDEN) + "]")
+_DECODER = json.JSONDecoder()
 
 
 def plain(text: str) -> str:
@@ -117,8 +120,13 @@ def letters(text: str) -> str:
 def language(text: str) -> str | None:
     """The language whose words the text has most of, None where none or two have."""
     words = _TOKEN.findall(unicodedata.normalize("NFC", _QUOTES.sub(" ", text.lower())))
-    score = sorted(((sum(w in m for w in words), k) for k, m in MARKERS.items()), reverse=True)
-    return None if score[0][0] == score[1][0] else score[0][1]
+    score = dict.fromkeys(MARKERS, 0)
+    for w in words:
+        k = _LANGUAGE.get(w)
+        if k is not None:
+            score[k] += 1
+    (top, best), (second, _) = sorted(((n, k) for k, n in score.items()), reverse=True)[:2]
+    return best if top > second else None
 
 
 def states_transaction(message: str) -> bool:
@@ -128,7 +136,10 @@ def states_transaction(message: str) -> bool:
 
 def unwrap(raw: str) -> str:
     """Without blanks, invisible characters and a code fence around it."""
-    return _FENCE.sub("", raw.translate(_HIDDEN).strip()).strip()
+    if _ANY_HIDDEN.search(raw):
+        raw = raw.translate(_HIDDEN)
+    raw = raw.strip()
+    return _FENCE.sub("", raw).strip() if "```" in raw else raw
 
 
 def _strings(value: Any) -> Iterator[str]:
@@ -176,7 +187,7 @@ class Parsed:
             return
         if body[0] in '[{"':
             try:
-                value, end = json.JSONDecoder().raw_decode(body)
+                value, end = _DECODER.raw_decode(body)
             except (ValueError, RecursionError) as e:
                 at_end = getattr(e, "pos", 0) >= len(body) or "Unterminated" in str(e) or not _closed(body)
                 self.kind, self.text = ("broken", body) if body[0] in "[{" and at_end else ("text", body)
