@@ -118,7 +118,8 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
 
     The mix has ``doc_id, source, copy_no, n_tokens, place``: sorted by ``place``, every stretch of it has about the
     wanted shares. It is as large as all documents together (those of unlisted sources, too). A text is used at most
-    ``max_repeats`` times; sources match when case, blanks at the ends and separators are ignored. Null texts aren't used. Report:
+    ``max_repeats`` times; sources match when case, blanks at the ends and separators are ignored. Null texts aren't used, texts without tokens
+    add none. Rows with the same id are texts of their own. A null or missing ``max_repeats`` is 1, a null share 0. Report:
     ``source, share, max_repeats, texts, tokens, wanted_tokens, budget, mixed_tokens, actual_share, short`` with ``short`` where
     the texts, each used ``max_repeats`` times, have fewer tokens than the share.
     """
