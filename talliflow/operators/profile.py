@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talliflow.functions.text import plain
-
 #: Bounds of the recommendations.
 SKEW_PERCENT, COVERAGE_SHARE, MULTI_SHARE = 70, 0.5, 0.2
 #: Words that tell a message speaks of dollars.
@@ -183,4 +181,4 @@ def dollar_messages(golden: DataFrame) -> DataFrame:
     usd = F.exists("targets.currency", lambda c: F.coalesce(c == "USD", F.lit(False)))
     low = F.lower("input")
     says = F.coalesce(F.exists(F.array(*(F.lit(m) for m in USD_MARKERS)), lambda m: F.contains(low, m)), F.lit(False))
-    return golden.where(usd).select("entry_id", says.alias("says_dollars"), (plain(F.col("input")) != low).alias("has_accents"))
+    return golden.where(usd).select("entry_id", says.alias("says_dollars"))

@@ -244,7 +244,7 @@ def clean_corpus(spark, d):
   FROM golden WHERE len(list_filter(targets, lambda t: t.currency = 'USD')) > 0"""
 )
 def dollar_messages(spark, d):
-    return profile.dollar_messages(_golden(spark, d)).drop("has_accents")
+    return profile.dollar_messages(_golden(spark, d))
 
 
 def _wanted(spark, d):

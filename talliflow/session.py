@@ -14,18 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path for a written table in the folder that all executors share, ``spark.checkpoint.dir``.
 
