@@ -29,8 +29,8 @@ COLON = ord(":")
 #: Invisible characters that aren't of the categories C and Z: joiners, fillers, blank pattern; then ranges of selectors.
 HIDDEN_CHARS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x2800, 0x3164, 0xFFA0}
 HIDDEN_RANGES = ((0x180B, 0x180F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF))
-#: Characters that one pass of the hash kernel takes at most (a longer text makes a pass of its own).
-CHUNK_CHARS = 4_000_000
+#: Characters that one pass of the hash kernel takes at most (a longer text makes a pass of its own). A pass needs about 120 bytes a character.
+CHUNK_CHARS = 1_000_000
 #: Rows of one class that one task of the verifying join gets at most.
 SALT_ROWS = 50_000
 #: A group of at least this share of all rows is hot; there can be no more than its inverse of them.
