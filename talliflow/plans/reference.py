@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talliflow.functions.udfs import parse_response
-from talliflow.operators import balance, chat, profile, quality, roundtrip, scoring, splits, synth
+from talliflow.operators import balance, chat, generation, profile, quality, roundtrip, scoring, splits, synth, units
 from talliflow.session import table
 from talliflow.streaming import pipelines
 
@@ -437,6 +437,22 @@ def random_intents(spark, d):
     return synth.intents(_golden(spark, d).select("entry_id"), "entry_id", table(spark, d, "categories"), "2026-01-31")
 
 
+@query()
+def forward_yield(spark, d):
+    """Yield by tone of messages made from as many random intents as there are curated entries."""
+    made = generation.forward(random_intents(spark, d), units.amount_terms(table(spark, d, "amount_terms")))
+    return generation.yields(made, "tone")
+
+
+@query()
+def planned_variants(spark, d):
+    """Variants of curated messages that the plan asks for, by key, with rejected ones and warnings."""
+    made = generation.variants(plan_per_key(spark, d), _golden(spark, d))
+    return made.groupBy("target_key").agg(
+        F.count("*").alias("generated"), F.count_if(F.col("rejected").isNotNull()).alias("rejected"), F.sum(F.size("warnings")).alias("warnings")
+    )
+
+
 @query("SELECT DISTINCT input FROM conversations WHERE input IS NOT NULL")
 def stream_first_messages(spark, d):
     """Distinct messages by a stream with state."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talliflow.functions import text
-from talliflow.operators import balance, chat, profile, quality, ranks, roundtrip, splits, synth
+from talliflow.operators import balance, chat, generation, profile, quality, ranks, roundtrip, splits, synth
 from talliflow.schemas import TARGETS
 from talliflow.sources import readers, sinks
 from talliflow.streaming import pipelines
@@ -176,6 +176,39 @@ def test_random_intents(spark):
     assert rows == synth.intents(spark.range(4000), "id", cats, "2026-01-31").collect()
 
 
+def test_forward_generation(spark):
+    cats = spark.createDataFrame([("expense", c, "") for c in ("Bar_Uno", "Casa")] + [("income", "Sueldo", "")], "kind string, name string, description string")
+    terms = [("luca", 1000.0, None), ("usd", 1.0, "USD")]
+    made = generation.forward(synth.intents(spark.range(1500), "id", cats, "2026-01-31"), terms)
+    rows = made.collect()
+    assert len(rows) == 1500 and [r["text"] for r in rows if r["reason"]] == []
+    for r in rows[:200]:
+        key = [(t["type"], t["amount"], t["currency"], t["category"], t["date_delta_days"], t["date_raw_expression"]) for t in r["original"]]
+        assert key == [(t["type"], pytest.approx(t["amount"]), t["currency"], t["category"], t["date_delta_days"], t["date_raw_expression"]) for t in r["extracted"]]
+    y = generation.yields(made, "tone").collect()
+    assert sum(r["attempts"] for r in y) == 1500 and all(r["yield_pct"] == 100.0 for r in y)
+    # texts that lose an item or an amount are found out
+    broken = generation.read_back(generation.render(generation.intent_lists(synth.intents(spark.range(50), "id", cats, "2026-01-31"))).withColumn("text", F.lit("gasté 1 en Bar_Uno")), terms)
+    reasons = {r["reason"] for r in roundtrip.validate(broken, "original", "extracted").collect()}
+    assert reasons <= {"length", "amount", "type"} and reasons
+
+    def model(batches):
+        for b in batches:
+            yield b.assign(answer=b["text"].str.upper())[["id", "answer"]]
+
+    assert generation.with_model(made.select("id", "text"), model, "id long, answer string").count() == 1500
+
+
+def test_reverse_generation(spark):
+    g = golden(spark, [(1, "gasté 5 en pan", [target(amount=5.0)]), (2, "gasté 5 en pan", []), (3, "{json", [target(category="b")])])
+    plan = spark.createDataFrame([("EXPENSE:a", "gasté 5 en pan", 5), ("EXPENSE:b", "{json", 1)], "target_key string, input string, n_variants int")
+    made = generation.variants(plan, g)
+    rows = [r for r in made.collect() if r["target_key"] == "EXPENSE:a"]
+    assert len(rows) == 5 and len({r["text"] for r in rows}) == 5 and all("gasté 5 en pan" in r["text"] and len(r["targets"]) == 1 for r in rows)
+    entries = generation.entries_of(made, "reverse", "2026-01-01").collect()
+    assert len(entries) >= 5 and entries[0]["metadata"]["num_transactions"] == 1
+
+
 def test_profile_edges(spark):
     g = golden(spark, [(1, "a", [target(amount=1.0), target(amount=2.0), target(amount=3.0), target(amount=4.0), None]), (2, "a", None), (3, None, []), (4, "x" * 600, [target(amount=5e6)])])
     (s,) = profile.amount_statistics(g.where("entry_id < 4")).collect()
