@@ -390,7 +390,24 @@ def schema_errors(spark, d):
     return _golden(spark, d).select("entry_id", F.size(quality.schema_errors(text)).alias("n_errors"))
 
 
-@query()
+def _sorted(x: str) -> str:
+    return f"list_sort(list_transform({x}, lambda t, i: {{'a': coalesce(t.amount, 0), 'i': i, 't': t}}))"
+
+
+def _up(field: str) -> str:
+    return " <> ".join(f"upper(coalesce({side}[k].t.{field}, 'None'))" for side in ("o", "x"))
+
+
+ROUND_TRIPS = f"""WITH {MATCHED}, s AS (SELECT model, len(e) AS ne, len(p) AS np, {_sorted('e')} AS o, {_sorted('p')} AS x FROM m),
+  r AS (SELECT model, CASE WHEN ne <> np THEN 'length' ELSE list_filter(list_transform(range(1, ne + 1), lambda k:
+    CASE WHEN {_up('type')} THEN 'type'
+    WHEN CASE WHEN o[k].a > 0 THEN abs(o[k].a - x[k].a) / o[k].a > 0.05 AND abs(o[k].a - x[k].a) > 10 ELSE abs(o[k].a - x[k].a) > 0.1 END THEN 'amount'
+    WHEN {_up('currency')} THEN 'currency' WHEN {_up('category')} THEN 'category'
+    WHEN coalesce(o[k].t.date_delta_days, 0) <> coalesce(x[k].t.date_delta_days, 0) THEN 'date_delta' END), lambda z: z IS NOT NULL)[1] END AS reason FROM s)
+  SELECT model, reason, count(*) AS n FROM r GROUP BY 1, 2"""
+
+
+@query(ROUND_TRIPS)
 def round_trips(spark, d):
     """Predicted against curated targets as a round trip, by model and reason of failure."""
     rows = scoring.matched(table(spark, d, "predictions").select("pred_id", "model", "input", "parsed_targets"), _golden(spark, d).select("entry_id", "input", "targets"))
