@@ -55,11 +55,11 @@ DONE = re.compile(r"\b(?:sume|anote|anotado|quedo registrado|recorded|saved an?|
 #: Words of each language; those that stand in two of the lists tell nothing.
 _WORDS = {
     "es": "el la los las un una del en con su tu y hace ayer hoy mañana anteayer días gasté pagué puse cobré entraron pagaron anotá buenas "
-    "perdón demora siento olvidé esto puedo creerlo hola gracias cuenta fecha monto lugar pasado jueves agosto hizo débito soy cómo veo "
-    "buen día quedó vinculada borrar gasto ingreso para tía cena llevar café tostadas viaje centro carga nafta pago expensas factura luz "
+    "perdón demora siento olvidé esto puedo creerlo hola gracias cuenta fecha monto lugar pasado jueves agosto hizo soy cómo veo "
+    "buen día quedó vinculada borrar gasto ingreso para tía cena llevar café tostadas viaje centro carga nafta expensas factura luz "
     "compra verduras yerba arroz sueldo mes honorarios fijos remedios tos consulta control arreglo canilla alimento gato entradas función "
     "abono pantalla cuota préstamo comisión flores obsequio cumpleaños gimnasia turno changa pintura reventa sillas listo anoté anotado "
-    "registrado perfecto sumé nada acá estoy lo necesites anotar resumen desde menú decime qué querés usé así pude leer genial por al "
+    "registrado perfecto sumé nada acá estoy lo necesites anotar resumen menú decime qué querés usé así pude leer genial por al "
     "interés ganado cambio divisas reintegro inscripción curso libros apuntes",
     "en": "the at with for from and an is are was i we you it this that which paid spent got received yesterday today tomorrow last thursday ago "
     "days hi hello thanks account here how do see summary amount date place method receipt done recorded saved expense income all set there "

@@ -147,11 +147,11 @@ def _hash_chunk(texts: list[str], seed: int) -> tuple[np.ndarray, ...]:
     keep = (kind == KEEP) | ((kind == MARK) & inside)
     at = np.flatnonzero(keep)
 
-    # labelled fields: a word and a colon that isn't part of a number
+    # labelled fields: a word, perhaps marks or blanks, and a colon that isn't part of a number
     colon = np.flatnonzero((cp == COLON) & ~inside)
     index = np.arange(n)
     word = (flags & WORD) > 0
-    filled = np.maximum.accumulate(np.where(kind != SPACE, index, -1)) if n else index
+    filled = np.maximum.accumulate(np.where(kind == KEEP, index, -1)) if n else index
     other = np.maximum.accumulate(np.where(~word, index, -1)) if n else index
     start_of = np.searchsorted(owner, np.arange(m + 1))
     last = np.where(colon > 0, filled[np.maximum(colon - 1, 0)], -1) if len(colon) else colon
@@ -305,7 +305,7 @@ def fields(text: str) -> list[tuple[int, int, int]] | None:
         if 0 < k < len(seen) - 1 and all(table.flags[seen[j][2]] & DIGIT for j in (k - 1, k + 1)):
             continue
         j = k - 1
-        while j >= 0 and seen[j][1] == SPACE:
+        while j >= 0 and seen[j][1] != KEEP:
             j -= 1
         if j < 0 or not table.flags[seen[j][2]] & WORD:
             continue

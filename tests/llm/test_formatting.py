@@ -46,6 +46,7 @@ def canonical(text):
         ("x: 1, y: 2, x: 1", "x: 1, x: 1, y: 2", True),
         ("x: 1, y:", "y: , x: 1", False),
         ("x: 12:30, y: 2", "y: 2, x: 12:30", True),
+        ("*x*: 1, «y :» 2", "y: 2, x: 1", True),
         ("ab: c, d: e", "a: bc, d: e", True),  # white space and marks don't count
         ("ab: c, d: e", "d: e, a: bc", False),
         ("ẹ́", "ẹ́", True),
