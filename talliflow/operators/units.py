@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talliflow.functions.text import MARKED, PLAIN, blank
+from talliflow.session import spread
 
 _FOLD = str.maketrans(MARKED, PLAIN)
 #: Ways to write a currency that no base form leads to by rule.
@@ -234,7 +235,7 @@ def common_units(
     rows = amount_terms(terms)
     dims = sources.groupBy("source").agg(F.max("amount_scale").alias("scale"))
     fx = rates.groupBy("rate_month", "currency").agg(F.max("ars_per_unit").alias("rate"))
-    entries = (
+    entries = spread(
         golden.select(
             "entry_id",
             "input",
@@ -242,11 +243,9 @@ def common_units(
             # of the targets the scan reads these two fields only
             F.arrays_zip("targets.amount", "targets.currency").alias("targets"),
             F.col("metadata.source").alias("source"),
-        )
-        .where(F.size("targets") > 0)
-        .join(dims, "source", "left")
-        .withColumn("mentions", mention_column(rows, F.col("input")))
+        ).where(F.size("targets") > 0)
     )
+    entries = entries.join(dims, "source", "left").withColumn("mentions", mention_column(rows, F.col("input")))
     flat = entries.select(
         "entry_id",
         "conversation_date",

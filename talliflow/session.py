@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan in as many partitions as there are cores, if they come in fewer than half as many.
+
+    A table of one large row group would otherwise leave all cores but one idle in a stage whose cost is Python. Large tables have more
+    partitions than cores and stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores / 2 else rows
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path for a written table in the folder that all executors share, ``spark.checkpoint.dir``.
 
