@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talliflow.session import shared_path
+from talliflow.session import shared_path, spread
 
 #: A length is a limit of a model if it has at least this share of its open-ended answers and as many rows.
 SPIKE_SHARE, SPIKE_ROWS = 0.1, 50
@@ -369,7 +369,7 @@ def find_defects(predictions: DataFrame) -> DataFrame:
         .join(limits, ["model", "n"], "left")
         .select("id", "message", "raw", "next_char", "limited")
     )
-    rest = rows.where(~hasprose).select(
+    rest = spread(rows.where(~hasprose)).select(
         "id", "message", "raw", F.lit(None).cast("string").alias("next_char"), F.lit(None).cast("boolean").alias("limited")
     )
 

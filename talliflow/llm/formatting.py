@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talliflow.session import shared_path
+from talliflow.session import shared_path, spread
 
 #: Classes of characters.
 SPACE, HIDDEN, MARK, KEEP = 0, 1, 2, 3
@@ -368,7 +368,7 @@ def hashed(rows: DataFrame, id_col: str, text_col: str, seed: int = 0, bits: int
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["id", "l1", "l2", "m1", "m2"])
 
     texts = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return texts.mapInArrow(run, "id bigint, l1 bigint, l2 bigint, m1 bigint, m2 bigint")
+    return spread(texts).mapInArrow(run, "id bigint, l1 bigint, l2 bigint, m1 bigint, m2 bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

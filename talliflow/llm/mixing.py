@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from talliflow.functions.text import loose_key
 from talliflow.operators import ranks
 from talliflow.llm.tokens import VOCABULARY, token_count
-from talliflow.session import shared_path
+from talliflow.session import shared_path, spread
 
 #: More wanted sources than this are refused, as their totals come to the driver.
 MAX_SOURCES = 100_000
@@ -93,7 +93,8 @@ def _sized(documents: DataFrame, targets: DataFrame, vocabulary: str) -> tuple[D
     spark = documents.sparkSession
     keys = targets.where("source is not null").select(F.col("source").alias("name"), loose_key(F.col("source")).alias("_key"))
     path = shared_path(spark, f"sizes-{uuid.uuid4().hex}")
-    sized = documents.where("text is not null").select(
+    texts = spread(documents.select("doc_id", "source", "text").where("text is not null"))
+    sized = texts.select(
         "doc_id", loose_key(F.col("source")).alias("_key"), token_count(F.col("text"), vocabulary).alias("n")
     )
     sized.join(keys, "_key", "left").select("doc_id", F.col("name").alias("source"), "n").write.parquet(path)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from talliflow.operators import ranks
 from talliflow.llm.tokens import VOCABULARY, token_count
-from talliflow.session import shared_path
+from talliflow.session import shared_path, spread
 
 CAPACITY = 2048
 #: Tokens of one size class: a class holds the sizes up to its multiple of this.
@@ -201,7 +201,8 @@ def pieces(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text is cut into full containers and one rest. Null texts are no pieces; a text without tokens is a piece of size 0.
     """
-    sized = documents.select(F.col(id_col).alias("id"), token_count(F.col(text_col), vocabulary).alias("n")).where("n is not null")
+    texts = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null"))
+    sized = texts.select("id", token_count(F.col("text"), vocabulary).alias("n"))
     count = F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("int")
     out = sized.select("id", "n", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
     start = F.col("k").cast("bigint") * capacity

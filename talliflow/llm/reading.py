@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talliflow.session import spread
+
 #: Labelled documents that the models are fitted on, at most; they are drawn by a hash of their ids.
 MAX_LABELLED = 1_500
 #: Sentences of one labelled document that are used for the fit, at most, evenly spread; all are used for levelling.
@@ -276,4 +278,4 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most: int = MAX_LABE
                 [batch.column(0), level, pa.array(p @ scale, mask=none), pa.array(n.astype(np.int32), mask=none)], ["doc_id", "level", "difficulty", "n_sentences"]
             )
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(run, schema)
