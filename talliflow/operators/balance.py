@@ -13,8 +13,8 @@ from talliflow.session import shared_path
 
 #: Variants of one seed, at most.
 PER_SEED = 5
-#: Buckets in which a key's first seeds are looked for.
-SEED_BUCKETS = 256
+#: Entries of one range in which a key's seeds are numbered.
+RANGE_ENTRIES = 100_000
 
 
 def key_of(t: Column) -> Column:
@@ -22,6 +22,12 @@ def key_of(t: Column) -> Column:
     return F.concat_ws(":", t["type"], t["category"])
 
 
+def wanted_counts(golden: DataFrame, shares: DataFrame) -> DataFrame:
+    """``ord, target_key, target``: each key's share of as many targets as the table has."""
+    n = items(golden, "targets", ["type"]).agg(F.count("*").alias("n"))
+    return shares.crossJoin(F.broadcast(n)).select("ord", "target_key", F.round(F.col("share") * F.col("n")).cast("bigint").alias("target"))
+
+
 def category_gaps(golden: DataFrame, wanted: DataFrame) -> DataFrame:
     """``ord, target_key, target, current, gap`` of every wanted key; counts of other keys are dropped, absent ones are 0."""
     counts = items(golden, "targets", ["type", "category"]).groupBy(key_of(F.col("t")).alias("target_key")).agg(F.count("*").alias("n"))
@@ -41,49 +47,56 @@ def seeds(golden: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.groupBy("target_key", "input").agg(F.min("entry_id").alias("first_entry"))
 
 
-def plan_per_key(golden: DataFrame, gaps: DataFrame) -> DataFrame:
-    """``target_key, input, n_variants``: each key's gap spread over its seeds in order, at most ``PER_SEED`` each.
+def first_seeds(found: DataFrame, open_gaps: DataFrame) -> DataFrame:
+    """``target_key, input, rn, n_variants``: each key's gap spread over its seeds in order, at most ``PER_SEED`` each.
 
-    Keys are looked at one by one, so a message may serve two keys. A key's first seeds are picked within hash buckets and then among the picked,
-    as many as the largest gap needs, so no task ranks all seeds of a key.
+    A key's seeds are numbered within ranges of entries, and the sizes of the ranges before added. An entry is a key's seed once at most, so no
+    task ranks more than ``RANGE_ENTRIES`` seeds of a key, however large its gap.
     """
-    open_gaps = gaps.where("gap > 0").select("target_key", "gap")
-    largest = open_gaps.agg(F.max("gap")).first()[0] or 0
-    need = -(-largest // PER_SEED)
-    own = seeds(golden, open_gaps).withColumn("_b", F.pmod(F.xxhash64("input"), F.lit(SEED_BUCKETS)))
-    order = ("first_entry", "input")
-    some = own.withColumn("rn", F.row_number().over(W.partitionBy("target_key", "_b").orderBy(*order))).where(F.col("rn") <= need)
-    ranked = some.withColumn("rn", F.row_number().over(W.partitionBy("target_key").orderBy(*order))).where(F.col("rn") <= need)
-    ranked = ranked.join(open_gaps, "target_key")
+    rows = found.withColumn("_b", F.floor(F.col("first_entry") / RANGE_ENTRIES))
+    before = W.partitionBy("target_key").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy("target_key", "_b").agg(F.count("*").alias("_n"))
+    ranges = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranges = ranges.join(open_gaps.select("target_key", "gap"), "target_key").where(F.col("_o") * PER_SEED < F.col("gap"))
+    inside = rows.join(ranges, ["target_key", "_b"])
+    rank = F.row_number().over(W.partitionBy("target_key", "_b").orderBy("first_entry", "input"))
+    ranked = inside.withColumn("rn", F.col("_o") + rank)
     n = F.least(F.lit(PER_SEED), F.col("gap") - PER_SEED * (F.col("rn") - 1))
-    return ranked.withColumn("n_variants", n).where("n_variants > 0").select("target_key", "input", "rn", "n_variants")
+    return ranked.select("target_key", "input", F.col("rn").cast("int").alias("rn"), n.alias("n_variants")).where("n_variants > 0")
+
+
+def plan_per_key(golden: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``target_key, input, rn, n_variants``: the seeds of every key. Keys are looked at one by one, so a message may serve two keys."""
+    open_gaps = gaps.where("gap > 0")
+    return first_seeds(seeds(golden, open_gaps), open_gaps)
 
 
 def plan(golden: DataFrame, gaps: DataFrame, most_keys: int = 1000) -> DataFrame:
     """``step, target_key, input, n_variants``: keys by falling gap, and no message serves two keys.
 
     One step for each open gap, of which there are as many as wanted keys; a step ranks only the seeds that can still be used. The
-    message of a seed is taken by the first key that reaches it.
+    message of a seed is taken by the first key that reaches it. Seeds and the steps' plans are written tables, as both grow with the data.
     """
+    spark = golden.sparkSession
+    open_gaps = gaps.where("gap > 0")
     todo = gap_summary(gaps).select("target_key", "gap").limit(most_keys + 1).collect()
     if len(todo) > most_keys:
         raise ValueError(f"more than {most_keys} keys to fill")
-    path = shared_path(golden.sparkSession, f"seeds-{uuid.uuid4().hex}")
-    seeds(golden, gaps.where("gap > 0")).write.partitionBy("target_key").parquet(path)
-    own = golden.sparkSession.read.parquet(path) if todo else None
-    out = None
+    columns = "target_key string, input string, n_variants int"
+    if not todo:
+        return spark.createDataFrame([], f"step int, {columns}")
+    path = shared_path(spark, f"seeds-{uuid.uuid4().hex}")
+    seeds(golden, open_gaps).write.partitionBy("target_key").parquet(f"{path}/seeds")
+    own = spark.read.schema("input string, first_entry bigint, target_key string").parquet(f"{path}/seeds")
+
+    def planned() -> DataFrame:
+        return spark.read.schema(f"{columns}, step int").parquet(f"{path}/plan").select("step", "target_key", "input", "n_variants")
+
     for step, g in enumerate(todo, 1):
         mine = own.where(F.col("target_key") == g["target_key"])
-        if out is not None:
-            mine = mine.join(out.select("input"), "input", "left_anti")
-        need = -(-g["gap"] // PER_SEED)
-        # the smallest ``need`` seeds: a top-k, not a sort of all
-        top = mine.orderBy("first_entry", "input").limit(need)
-        ranked = top.withColumn("rn", F.row_number().over(W.orderBy("first_entry", "input")))
-        part = ranked.select(
-            F.lit(step).alias("step"), "target_key", "input", F.least(F.lit(PER_SEED), F.lit(g["gap"]) - PER_SEED * (F.col("rn") - 1)).cast("int").alias("n_variants")
-        )
-        part = golden.sparkSession.createDataFrame(part.collect(), part.schema)  # at most gap / PER_SEED rows
-        out = part if out is None else out.union(part)
-    empty = "step int, target_key string, input string, n_variants int"
-    return out if out is not None else golden.sparkSession.createDataFrame([], empty)
+        if step > 1:
+            mine = mine.join(planned().select("input"), "input", "left_anti")
+        gap = spark.createDataFrame([(g["target_key"], g["gap"])], "target_key string, gap long")
+        part = first_seeds(mine, gap).select("target_key", "input", F.col("n_variants").cast("int"))
+        part.write.parquet(f"{path}/plan/step={step}")
+    return planned()

@@ -278,10 +278,34 @@ def plan_per_key(spark, d):
     return balance.plan_per_key(_golden(spark, d), balance.category_gaps(_golden(spark, d), _wanted(spark, d)))
 
 
+def _share_gaps(spark, d):
+    """Gaps to each key's share of as many targets as there are."""
+    golden = _golden(spark, d)
+    return balance.category_gaps(golden, balance.wanted_counts(golden, table(spark, d, "sample_targets")))
+
+
+SHARE_GAPS = GAPS.replace("s.share * 10000", "s.share * (SELECT count(*) FROM t)")
+
+
+@query(f"WITH {SHARE_GAPS} SELECT * FROM gaps")
+def share_gaps(spark, d):
+    return _share_gaps(spark, d)
+
+
+@query(f"WITH {SHARE_GAPS} SELECT * FROM gaps WHERE gap > 0")
+def share_gap_summary(spark, d):
+    return balance.gap_summary(_share_gaps(spark, d))
+
+
+@query(SQL["plan_per_key"].replace(GAPS, SHARE_GAPS))
+def share_plan(spark, d):
+    return balance.plan_per_key(_golden(spark, d), _share_gaps(spark, d))
+
+
 @query()
 def plan_seeds(spark, d):
-    """The plan in which no message serves two keys."""
-    return balance.plan(_golden(spark, d), balance.category_gaps(_golden(spark, d), _wanted(spark, d)))
+    """The plan in which no message serves two keys, for gaps that grow with the table."""
+    return balance.plan(_golden(spark, d), _share_gaps(spark, d))
 
 
 @query(f"WITH {LAST} SELECT conv_id, l.input IS NOT NULL AS saved, coalesce(len(CASE WHEN l.input IS NULL THEN NULL ELSE l.targets END), len(c.outputs), 0)::INT AS n_outputs FROM conversations c LEFT JOIN last l USING (input)")
@@ -463,8 +487,8 @@ def forward_yield(spark, d):
 
 @query()
 def planned_variants(spark, d):
-    """Variants of curated messages that the plan asks for, by key, with rejected ones and warnings."""
-    made = generation.variants(plan_per_key(spark, d), _golden(spark, d))
+    """Variants of curated messages that the plan asks for, by key, with rejected ones and warnings; gaps grow with the table."""
+    made = generation.variants(share_plan(spark, d), _golden(spark, d))
     return made.groupBy("target_key").agg(
         F.count("*").alias("generated"), F.count_if(F.col("rejected").isNotNull()).alias("rejected"), F.sum(F.size("warnings")).alias("warnings")
     )

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,33 @@ def test_plan_against_a_loop(spark):
     assert all(r["n"] <= gap[r["target_key"]] for r in per_key)
 
 
+def test_wanted_numbers_grow_with_the_table(spark, monkeypatch):
+    shares = spark.createDataFrame([(1, "EXPENSE:a", 0.25), (2, "EXPENSE:b", 0.5), (3, "EXPENSE:none", 0.25)], "ord int, target_key string, share double")
+    for times in (1, 10):
+        g = golden(spark, [(i, f"m{i}", [target(category="b" if i % 8 == 0 else "a")]) for i in range(80 * times)])
+        gaps = balance.category_gaps(g, balance.wanted_counts(g, shares))
+        assert {r["target_key"]: r["gap"] for r in gaps.collect()} == {"EXPENSE:a": 0, "EXPENSE:b": 30 * times, "EXPENSE:none": 20 * times}
+        monkeypatch.setattr(balance, "RANGE_ENTRIES", 7)
+        rows = balance.plan_per_key(g, gaps).orderBy("rn").collect()
+        assert [(r["rn"], r["input"], r["n_variants"]) for r in rows] == [(k + 1, f"m{8 * k}", 5) for k in range(6 * times)]
+        assert sorted(r["input"] for r in balance.plan(g, gaps).collect()) == sorted(r["input"] for r in rows)
+    # keys that are wanted but have no seed
+    assert balance.plan(g, gaps.where("target_key = 'EXPENSE:none'")).count() == 0
+
+
+def test_plans_are_filled_on_tables_of_any_size(spark):
+    from talliflow.plans import reference
+
+    for d in ("sf0.01", "sf0.1"):
+        d = f"/root/testdata/{d}"
+        if not os.path.isdir(d):
+            pytest.skip("no test tables here")
+        gaps = {r["target_key"]: r["gap"] for r in reference.share_gap_summary(spark, d).collect()}
+        assert gaps.get("EXPENSE:Gimnasia_Canchas", 0) > 0
+        assert reference.plan_seeds(spark, d).where("target_key = 'EXPENSE:Gimnasia_Canchas'").count() > 0
+        assert sum(r["generated"] for r in reference.planned_variants(spark, d).collect()) > 0
+
+
 def test_ranks_are_a_permutation(spark):
     df = spark.createDataFrame([("a", i) for i in range(5000)] + [("b", 1), ("b", 1), (None, 2)], "k string, i int")
     old, ranks.BUCKET_ROWS = ranks.BUCKET_ROWS, 300
