@@ -12,7 +12,7 @@ from talliflow.functions.udfs import dumps
 
 #: Rows of one bucket of a ranking, about, and hexadecimal digits of the digest that make the buckets, at most.
 BUCKET_ROWS, MAX_DIGITS = 100_000, 5
-#: Candidates that few-shot examples are chosen from.
+#: Candidates that examples of :func:`few_shot_pool` are chosen from.
 POOL = 64
 
 
@@ -55,10 +55,39 @@ def sample(rows: DataFrame, id_col: str, n: int, seed: str = "42") -> DataFrame:
     return rows.orderBy(digest(seed, F.col(id_col)), id_col).limit(n)
 
 
+def distinct_numbers(k: int, n: int, seed: str, *ids: Column) -> Column:
+    """``k`` distinct numbers from 1 to ``n`` (all if there are fewer), every set of them as likely: Floyd's algorithm over digests."""
+    if n < 1:
+        return F.array().cast("array<bigint>")
+    upto = F.sequence(F.lit(max(1, n - k + 1)).cast("bigint"), F.lit(n).cast("bigint"))
+    # 60 bits of the digest
+    number = lambda j: F.conv(F.substring(digest(seed, F.lit("draw"), *ids, j), 1, 15), 16, 10).cast("bigint") % j + 1
+    drawn = F.transform(upto, lambda j: F.struct(j.alias("j"), number(j).alias("t")))
+    return F.aggregate(
+        drawn,
+        F.array().cast("array<bigint>"),
+        lambda found, x: F.concat(found, F.array(F.when(F.array_contains(found, x["t"]), x["j"]).otherwise(x["t"]))),
+    )
+
+
 def few_shot(rows: DataFrame, k: int, seed: str = "42") -> DataFrame:
     """``entry_id, examples``: ``k`` other entries with targets for every entry, in a random order of its own.
 
-    Examples come from a pool of ``POOL`` random entries, which every task gets; so many are enough for prompts and their number is fixed.
+    All entries with targets are candidates. They are numbered once; every entry draws one number more than it needs, in case its own is among them,
+    and numbers are joined to candidates.
+    """
+    candidates = rows.where(F.size("targets") > 0).select("entry_id", "input")
+    n = candidates.count()
+    ranked = shuffled_rank(candidates, seed, "entry_id", n).select("rank", F.col("entry_id").alias("example_id"), "input")
+    own = F.col("entry_id")
+    draws = rows.select("entry_id", F.explode_outer(distinct_numbers(k + 1, n, seed, own)).alias("rank"))
+    other = F.struct(digest(seed, own, F.col("example_id")).alias("d"), "example_id", "input")
+    found = draws.join(ranked, "rank", "left").withColumn("x", F.when(F.col("example_id") != own, other))
+    return found.groupBy("entry_id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("examples"))
+
+
+def few_shot_pool(rows: DataFrame, k: int, seed: str = "42") -> DataFrame:
+    """``entry_id, examples``: examples as :func:`few_shot` gives them, but out of ``POOL`` random entries only, which every task gets.
     """
     pool = sample(rows.where(F.size("targets") > 0).select("entry_id", "input"), "entry_id", POOL, seed)
     pool = pool.agg(F.collect_list(F.struct("entry_id", "input")).alias("pool"))

@@ -460,11 +460,30 @@ def sample_entries(spark, d):
   SELECT entry_id, e AS example_id, k::INT AS k FROM r WHERE k <= 3"""
 )
 def few_shot_examples(spark, d):
-    """Three examples for every entry."""
-    rows = splits.few_shot(_golden(spark, d), 3)
+    """Three examples for every entry, out of the 64 candidates of its SQL."""
+    return _numbered(splits.few_shot_pool(_golden(spark, d), 3))
+
+
+def _numbered(rows):
     return rows.select("entry_id", F.posexplode("examples").alias("p", "x")).select("entry_id", "x.example_id", (F.col("p") + 1).alias("k"))
 
 
+@query(
+    """WITH c AS (SELECT entry_id AS e, row_number() OVER (ORDER BY md5('42|' || entry_id::VARCHAR), entry_id) AS rank FROM golden WHERE len(targets) > 0),
+  h AS (SELECT entry_id, n, list_transform([n - 3, n - 2, n - 1, n], lambda j:
+    ('0x' || substr(md5('42|draw|' || entry_id::VARCHAR || '|' || j::VARCHAR), 1, 15))::BIGINT % j + 1) AS t FROM golden, (SELECT count(*) AS n FROM c)),
+  h2 AS (SELECT *, [t[1], CASE WHEN t[2] = t[1] THEN n - 2 ELSE t[2] END] AS s2 FROM h),
+  h3 AS (SELECT *, list_append(s2, CASE WHEN list_contains(s2, t[3]) THEN n - 1 ELSE t[3] END) AS s3 FROM h2),
+  d AS (SELECT entry_id, unnest(list_append(s3, CASE WHEN list_contains(s3, t[4]) THEN n ELSE t[4] END)) AS rank FROM h3),
+  r AS (SELECT entry_id, e, row_number() OVER (PARTITION BY entry_id ORDER BY md5('42|' || entry_id::VARCHAR || '|' || e::VARCHAR), e) AS k
+    FROM d JOIN c USING (rank) WHERE e <> entry_id)
+  SELECT entry_id, e AS example_id, k::INT AS k FROM r WHERE k <= 3"""
+)
+def few_shot_all(spark, d):
+    """Three examples for every entry, out of all entries with targets."""
+    return _numbered(splits.few_shot(_golden(spark, d), 3))
+
+
 @query()
 def chat_records(spark, d):
     """Entries as chat-format records."""

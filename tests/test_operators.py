@@ -193,6 +193,21 @@ def test_splits(spark):
     assert [x["role"] for x in turns] == ["system", "user", "assistant", "user"]
 
 
+def test_few_shot_draws_from_all_candidates(spark):
+    g = golden(spark, [(i, f"m{i}", [target()] if i % 2 else []) for i in range(1000)])
+    rows = splits.few_shot(g, 3).collect()
+    assert sorted(r["entry_id"] for r in rows) == list(range(1000))
+    chosen = [[x["example_id"] for x in r["examples"]] for r in rows]
+    assert all(len(set(c)) == 3 and r["entry_id"] not in c for r, c in zip(rows, chosen))
+    assert all(x["input"] == f"m{x['example_id']}" for r in rows for x in r["examples"])
+    times = {i: sum(c.count(i) for c in chosen) for i in range(1000)}
+    # 6 times each on average; a candidate in none of 1,000 draws has a chance of 0.25 %
+    assert sum(times[i] > 0 for i in range(1, 1000, 2)) > 480 and max(times.values()) < 25 and not any(times[i] for i in range(0, 1000, 2))
+    few = {r["entry_id"]: {x["example_id"] for x in r["examples"]} for r in splits.few_shot(g.where("entry_id < 6"), 3).collect()}
+    assert few == {i: {1, 3, 5} - {i} for i in range(6)}
+    assert [r["examples"] for r in splits.few_shot(g.where("entry_id = 0"), 3).collect()] == [[]]
+
+
 def test_random_intents(spark):
     cats = spark.createDataFrame([("expense", c, "") for c in "abc"] + [("income", "z", "")], "kind string, name string, description string")
     rows = synth.intents(spark.range(4000), "id", cats, "2026-01-31").collect()
