@@ -379,10 +379,25 @@ def chat_sessions(spark, d):
 )
 def chat_days(spark, d):
     """Messages per day of half a year."""
-    rows = _messages(spark, d).where((F.col("ts") >= F.to_date(F.lit("2025-03-01"))) & (F.col("ts") < F.date_add(F.to_date(F.lit("2025-08-31")), 1)))
+    return _daily(_messages(spark, d).where((F.col("ts") >= F.to_date(F.lit("2025-03-01"))) & (F.col("ts") < F.date_add(F.to_date(F.lit("2025-08-31")), 1))))
+
+
+def _daily(rows):
     return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("chats"))
 
 
+@query(f"WITH {MESSAGES} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT id) AS chats FROM msgs GROUP BY 1")
+def chat_all_days(spark, d):
+    """Messages per day, of all days; those whose time doesn't exist under a null day."""
+    return _daily(_messages(spark, d))
+
+
+@query()
+def chat_conversations(spark, d):
+    """Users' messages with the assistants' replies to them, of all days."""
+    return chat.conversations(_messages(spark, d), F.col("sender").startswith("Asistente"))
+
+
 @query(
     """SELECT conv_id, pos::INT AS pos, o.type AS type, o.status AS status, nullif(trim(o.description), '') AS description, round(o.amount, 2) AS amount, o.category AS category
   FROM (SELECT conv_id, unnest(outputs) AS o, generate_subscripts(outputs, 1) - 1 AS pos FROM conversations) WHERE o IS NOT NULL"""

@@ -100,6 +100,21 @@ def test_save_requests(spark):
     assert e["num_transactions"] == 4
 
 
+def test_no_day_of_a_chat_is_left_out(spark, tmp_path):
+    from talliflow.plans import reference
+
+    old = CHAT.replace("/02/25", "/02/19")
+    spark.createDataFrame([(1, CHAT), (2, old), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    days = {r["day"]: (r["n"], r["chats"]) for r in reference.chat_all_days(spark, str(tmp_path)).collect()}
+    month = {"01": 3, "02": 4, "03": 1, "04": 1}
+    assert days == {f"{y}-02-{k}": (n, 1) for y in (2019, 2025) for k, n in month.items()} | {None: (2, 2)}
+    assert reference.chat_days(spark, str(tmp_path)).count() == 0
+    bot = CHAT.replace(" Bot:", " Asistente:")
+    spark.createDataFrame([(1, bot), (2, bot.replace("/02/25", "/02/19"))], "doc_id long, text string").write.parquet(f"{tmp_path}/2/documents.parquet")
+    talks = reference.chat_conversations(spark, f"{tmp_path}/2").collect()
+    assert {r["id"] for r in talks} == {1, 2} and {r["conversation_date"][:4] for r in talks} == {"2019", "2025"}
+
+
 def test_round_trip(spark):
     a, b = target(amount=1000.0), target("INCOME", 5.0)
     cases = [
