@@ -100,3 +100,12 @@ def plan(golden: DataFrame, gaps: DataFrame, most_keys: int = 1000) -> DataFrame
         part = first_seeds(mine, gap).select("target_key", "input", F.col("n_variants").cast("int"))
         part.write.parquet(f"{path}/plan/step={step}")
     return planned()
+
+
+def dry_run(planned: DataFrame, golden: DataFrame, width: int = 60) -> DataFrame:
+    """``key, start, n_variants``: what a plan would generate, by the first target of the message's first entry and the message's first characters."""
+    rows = golden.where("input is not null")
+    first = rows.groupBy("input").agg(F.min_by(F.struct(F.get("targets", F.lit(0)).alias("t"), (F.size("targets") > 0).alias("some")), "entry_id").alias("f"))
+    part = [F.when(F.col("f.some"), F.col(f"f.t.{k}")).otherwise(other) for k, other in (("type", "N/A"), ("category", "non-tx"))]
+    key = F.concat_ws(":", *part).alias("key")
+    return planned.join(first, "input").select(key, F.substring("input", 1, width).alias("start"), "n_variants")

@@ -24,6 +24,9 @@ LONGEST = 500
 OPENINGS = ["", "hola! ", "che, ", "anotá: ", "buenas, ", "perdón la demora, "]
 ENDINGS = ["", " gracias", "!", ".", " por favor"]
 
+#: What messages without a transaction ask or say.
+SMALL_TALK = ["cómo estás?", "qué podés hacer?", "quién sos?", "cómo te uso?", "después te escribo", "no era nada", "todo bien por allá?", "me ayudás con otra cosa?"]
+
 
 def with_model(rows: DataFrame, model: Model, schema: str) -> DataFrame:
     """Rows run through a model in batches, as many at once as there are partitions."""
@@ -117,6 +120,19 @@ def variants(plan: DataFrame, golden: DataFrame) -> DataFrame:
     return out.select("target_key", "text", "targets", "q.rejected", "q.warnings")
 
 
+def non_transactional(rows: DataFrame, id_col: str = "entry_id") -> DataFrame:
+    """``id, text, targets, rejected, warnings``: a message without a transaction, with no targets, for every row.
+
+    Opening, words and ending are chosen by the row's id. A model's texts take the place of these by :func:`with_model`.
+    """
+    def pick(options: list[str], salt: int) -> Column:
+        return F.element_at(F.array(*(F.lit(o) for o in options)), (F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
+
+    text = F.concat(pick(OPENINGS, 3), pick(SMALL_TALK, 4), pick(ENDINGS, 5))
+    made = rows.select(F.col(id_col).alias("id"), text.alias("text"), F.array().cast(TARGETS).alias("targets"))
+    return made.withColumn("q", quality.text_flags(F.col("text"), F.col("targets"))).select("id", "text", "targets", "q.rejected", "q.warnings")
+
+
 def entries_of(accepted: DataFrame, source: str, day: str) -> DataFrame:
     """Curated entries from accepted texts: ``input, conversation_date, targets, metadata``."""
     meta = F.struct(F.lit(source).alias("source"), F.size("targets").alias("num_transactions"))

@@ -528,6 +528,18 @@ def planned_variants(spark, d):
     )
 
 
+@query()
+def plan_dry_run(spark, d):
+    """What the plan would generate, before it does."""
+    return balance.dry_run(plan_seeds(spark, d), _golden(spark, d))
+
+
+@query()
+def non_transactional_messages(spark, d):
+    """Messages without a transaction, as many as there are curated entries without targets."""
+    return generation.non_transactional(_golden(spark, d).where(F.coalesce(F.size("targets"), F.lit(0)) < 1))
+
+
 @query("SELECT DISTINCT input FROM conversations WHERE input IS NOT NULL")
 def stream_first_messages(spark, d):
     """Distinct messages by a stream with state."""

@@ -267,6 +267,22 @@ def test_reverse_generation(spark):
     assert len(entries) >= 5 and entries[0]["metadata"]["num_transactions"] == 1
 
 
+def test_dry_run_of_a_plan(spark):
+    g = golden(spark, [(1, "x" * 70, [target(), target("INCOME", category="b")]), (2, "x" * 70, []), (3, "hola", []), (4, "qué", None)])
+    plan = spark.createDataFrame([("x" * 70, 5), ("hola", 2), ("qué", 1)], "input string, n_variants int")
+    rows = {(r["key"], r["start"], r["n_variants"]) for r in balance.dry_run(plan, g).collect()}
+    assert rows == {("EXPENSE:a", "x" * 60, 5), ("N/A:non-tx", "hola", 2), ("N/A:non-tx", "qué", 1)}
+
+
+def test_messages_without_a_transaction(spark):
+    made = generation.non_transactional(spark.range(500).withColumnRenamed("id", "entry_id"))
+    rows = made.collect()
+    assert len(rows) == 500 and len({r["text"] for r in rows}) > 50
+    assert all(r["text"] and not any(c.isdigit() for c in r["text"]) and r["targets"] == [] and r["rejected"] is None and r["warnings"] == [] for r in rows)
+    entries = generation.entries_of(made, "reverse", "2026-01-01").collect()
+    assert len(entries) == 500 and all(r["metadata"]["num_transactions"] == 0 for r in entries)
+
+
 def test_profile_edges(spark):
     g = golden(spark, [(1, "a", [target(amount=1.0), target(amount=2.0), target(amount=3.0), target(amount=4.0), None]), (2, "a", None), (3, None, []), (4, "x" * 600, [target(amount=5e6)])])
     (s,) = profile.amount_statistics(g.where("entry_id < 4")).collect()
