@@ -36,6 +36,15 @@ def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
 
 
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``at, line``: lines of text files that many tasks read, with what orders them: file, start of the block and place in it.
+
+    A task reads a block's lines in order, so its running number orders those of one block.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return spark.read.text(path).select(at.alias("at"), F.col("value").alias("line"))
+
+
 def golden(spark: SparkSession, path: str, missing_ok: bool = True) -> DataFrame:
     """Curated entries of either form: the older single ``target`` becomes a list of one."""
     rows = jsonl(spark, path, schemas.GOLDEN, strict=False, missing_ok=missing_ok).where(f"{BAD_LINE} is null")
@@ -45,9 +54,9 @@ def golden(spark: SparkSession, path: str, missing_ok: bool = True) -> DataFrame
 
 def golden_map(spark: SparkSession, path: str) -> DataFrame:
     """Curated entries by message, the last line of a message wins; a bad line or a missing file is an error."""
-    lines = with_line_numbers(spark, path).where(F.trim("line") != "")
-    parsed = lines.select("line_no", F.from_json("line", schemas.GOLDEN, {"mode": "FAILFAST"}).alias("r")).select("line_no", "r.*")
-    return last_wins(parsed, "input", "line_no").drop("line_no", "target")
+    lines = lines_in_order(spark, path).where(F.trim("line") != "")
+    parsed = lines.select("at", F.from_json("line", schemas.GOLDEN, {"mode": "FAILFAST"}).alias("r")).select("at", "r.*")
+    return last_wins(parsed, "input", "at").drop("at", "target")
 
 
 def usable_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -283,6 +283,21 @@ def test_messages_without_a_transaction(spark):
     assert len(entries) == 500 and all(r["metadata"]["num_transactions"] == 0 for r in entries)
 
 
+def test_a_file_is_read_by_many_tasks(spark, tmp_path):
+    f = tmp_path / "g.jsonl"
+    f.write_text("".join(json.dumps({"input": f"m{i % 50}", "conversation_date": str(i)}) + "\n" for i in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert readers.lines_in_order(spark, str(f)).rdd.getNumPartitions() > 10
+        rows = readers.golden_map(spark, str(f)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert {r["input"]: r["conversation_date"] for r in rows} == {f"m{i % 50}": str(i) for i in range(1950, 2000)}
+
+
 def test_profile_edges(spark):
     g = golden(spark, [(1, "a", [target(amount=1.0), target(amount=2.0), target(amount=3.0), target(amount=4.0), None]), (2, "a", None), (3, None, []), (4, "x" * 600, [target(amount=5e6)])])
     (s,) = profile.amount_statistics(g.where("entry_id < 4")).collect()
