@@ -49,18 +49,29 @@ def json_targets(q: str) -> str:
     return rf"{ws}\[{ws}(?:{obj}(?:,{ws}{obj})*+)?+\]{ws}"
 
 
+def _up_to(limit: int) -> str:
+    """Digits, zeros in front or not, whose number is at most ``limit``."""
+    n = str(limit)
+    same = [rf"{n[:i]}[0-{int(d) - 1}][0-9]{{{len(n) - i - 1}}}" for i, d in enumerate(n) if d != "0"]
+    return rf"(?=[0-9])0*+(?:[1-9][0-9]{{0,{len(n) - 2}}}+(?![0-9])|{'|'.join([*same, n])})?+(?![0-9])"
+
+
 def kind_pattern(kind: str) -> str:
-    """The pattern of one field, quoted or not."""
+    """The pattern of one field, quoted or not.
+
+    ``digits`` must fit the BIGINT that they load as. Where a field may be blank, it's empty: blanks alone are no value.
+    """
     if kind == "digits":
-        return r'(?:[0-9]++|"[0-9]++")'
+        n = _up_to(2**63 - 1)
+        return rf'(?:{n}|"{n}")'
     if kind == "date":
         return rf'(?:{_YEAR_DAY}|"{_YEAR_DAY}")'
     if kind == "decimal":
-        n = r"(?:[0-9]++(?:\.[0-9]++)?+|[\s&&[^,]]*+)"
+        n = r"(?:[0-9]++(?:\.[0-9]++)?+)?+"
         return rf'(?:"{n}"|{n})'
     if kind == "targets":
-        # without quotes only blanks or an empty list can stand
-        return rf'(?:"(?:{json_targets(chr(34) * 2)}|\s*+)"|\s*+\[\s*+\]\s*+|\s*+)'
+        # without quotes only nothing or an empty list can stand
+        return rf'(?:"(?:{json_targets(chr(34) * 2)})?+"|(?:[ \t\n\r]*+\[[ \t\n\r]*+\][ \t\n\r]*+)?+)'
     if kind == "text":
         return FIELD
     raise ValueError(f"no such kind of field: {kind}")

@@ -112,10 +112,10 @@ def _content(k: int) -> str:
 _BARE = """regexp_replace(ts, '"(?:[^"\\\\]|\\\\.)*"', '', 'g')"""
 _P4 = f"""WITH l AS (SELECT line_id, line, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*') AS quoted, regexp_full_match(line, '{_FIELD}(?:,{_FIELD}){{6}}') AS seven FROM prediction_lines),
   f AS (SELECT line_id, quoted, seven, {_content(1)} AS id, {_content(3)} AS day, {_content(6)} AS ts, {_content(7)} AS lat FROM l),
-  v AS (SELECT *, CASE WHEN trim(ts) = '' THEN true WHEN NOT json_valid(ts) OR regexp_matches({_BARE}, '(NaN|Infinity|,\\s*[\\]}}])') THEN false WHEN json_type(ts::JSON) <> 'ARRAY' THEN false
+  v AS (SELECT *, CASE WHEN ts = '' THEN true WHEN NOT json_valid(ts) OR regexp_matches({_BARE}, '(NaN|Infinity|,\\s*[\\]}}])') THEN false WHEN json_type(ts::JSON) <> 'ARRAY' THEN false
     ELSE len(list_filter(CAST(ts::JSON AS JSON[]), lambda x: json_type(x) <> 'OBJECT' OR coalesce(x->>'$.type', '') NOT IN ('EXPENSE', 'INCOME')
       OR coalesce(json_type(x, '$.amount'), '') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT'))) = 0 END AS good FROM f)
   SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT seven THEN 'column_count' ELSE 'value' END AS reason FROM v
-  WHERE NOT quoted OR NOT seven OR NOT good OR NOT regexp_full_match(id, '[0-9]+') OR NOT regexp_full_match(day, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
-    OR try_cast(day AS DATE) IS NULL OR NOT regexp_full_match(lat, '\\s*|[0-9]+([.][0-9]+)?')"""
+  WHERE NOT quoted OR NOT seven OR NOT good OR NOT regexp_full_match(id, '[0-9]+') OR try_cast(id AS BIGINT) IS NULL OR NOT regexp_full_match(day, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
+    OR try_cast(day AS DATE) IS NULL OR NOT regexp_full_match(lat, '|[0-9]+([.][0-9]+)?')"""
 SQL: dict[str, str] = {"p4_found": _P4, "p6_found": _P6}

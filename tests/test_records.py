@@ -26,6 +26,13 @@ CASES = {
     "1,m,20250228,hola,raw,,1": ("value", "conversation_date"),
     '1,m,2025-02-28,hola,raw,,"1,5"': ("value", "latency_seconds"),
     "1,m,2025-02-28,hola,raw,,1e3": ("value", "latency_seconds"),
+    "1,m,2025-02-28,hola,raw,, ": ("value", "latency_seconds"),
+    '1,m,2025-02-28,hola,raw,"",""': (None, None),
+    "1,m,2025-02-28,hola,raw, ,1": ("value", "parsed_targets"),
+    "0009223372036854775807,m,2025-02-28,hola,raw,,1": (None, None),
+    "9223372036854775808,m,2025-02-28,hola,raw,,1": ("value", "pred_id"),
+    "12345678901234567890,m,2025-02-28,hola,raw,,1": ("value", "pred_id"),
+    "000,m,2025-02-28,hola,raw,,1": (None, None),
     "1,m,2025-02-28,hola,raw,null,1": ("value", "parsed_targets"),
     '1,m,2025-02-28,hola,raw,"[{""type"": ""EXPENSE"", ""amount"": NaN}]",1': ("value", "parsed_targets"),
     '1,m,2025-02-28,hola,raw,"[{""type"": ""EXPENSE"", ""amount"": true}]",1': ("value", "parsed_targets"),
@@ -94,13 +101,13 @@ def by_hand(line):
         return "column_count"
     try:
         date = re.fullmatch(r"\d{4}-\d\d-\d\d", fields[2]) and datetime.date.fromisoformat(fields[2])
-        targets = json.loads(fields[5], parse_constant=lambda c: 1 / 0) if fields[5].strip() else []
+        targets = json.loads(fields[5], parse_constant=lambda c: 1 / 0) if fields[5] else []
         good = isinstance(targets, list) and all(
             isinstance(t, dict) and t.get("type") in ("EXPENSE", "INCOME") and type(t.get("amount")) in (int, float) for t in targets
         )
     except (ValueError, ZeroDivisionError):
         return "value"
-    fine = date and good and re.fullmatch(r"[0-9]+", fields[0]) and re.fullmatch(r"\s*|[0-9]+(\.[0-9]+)?", fields[6])
+    fine = date and good and re.fullmatch(r"[0-9]+", fields[0]) and int(fields[0]) < 2**63 and re.fullmatch(r"|[0-9]+(\.[0-9]+)?", fields[6])
     return None if fine else "value"
 
 
