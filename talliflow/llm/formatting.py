@@ -9,6 +9,7 @@ messages made only of ``label: value`` fields, the order of the fields.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -33,10 +34,9 @@ HIDDEN_RANGES = ((0x180B, 0x180F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF))
 CHUNK_CHARS = 1_000_000
 #: Rows of one class that one task of the verifying join gets at most.
 SALT_ROWS = 50_000
-#: A group of at least this share of all rows is hot; there can be no more than its inverse of them.
-HOT_SHARE = 1 / 64
-#: Seeds that are tried, each only if a comparison refuted a collision under the one before.
-ROUNDS = 8
+#: A group of this many rows is hot and its head broadcast; of more than ``MAX_HOT`` such groups only the larger ones are: those of more
+#: than that part of all rows, of which there can't be more.
+HOT_ROWS, MAX_HOT = 50_000, 100_000
 
 
 def char_class(cp: int) -> int:
@@ -296,6 +296,8 @@ def same_text(a: str, b: str) -> bool:
 
 def fields(text: str) -> list[tuple[int, int, int]] | None:
     """Start, colon and end of the labelled fields, or None if the text isn't made only of such."""
+    if text.count(":") < 2:
+        return None
     table = lookup()
     seen = [(i, *x) for i, ch in enumerate(text) for x in _visible(ch)]
     found = []
@@ -319,10 +321,8 @@ def fields(text: str) -> list[tuple[int, int, int]] | None:
     return None if any(next(units(text[c:e]), None) is None for _, c, e in out) else out
 
 
-def same_message(a: str, b: str) -> bool:
-    """Whether two texts are one message: the same units in order, or the same fields in any order."""
-    if same_text(a, b):
-        return True
+def same_fields(a: str, b: str) -> bool:
+    """Whether two texts are made of the same labelled fields, in any order."""
     fa, fb = fields(a), fields(b)
     if fa is None or fb is None or len(fa) != len(fb):
         return False
@@ -350,6 +350,20 @@ def same_message(a: str, b: str) -> bool:
     return True
 
 
+def same_message(a: str, b: str) -> bool:
+    """Whether two texts are one message: the same units in order, or the same fields in any order."""
+    return same_text(a, b) or same_fields(a, b)
+
+
+def same_row(a: str, b: str) -> bool:
+    """Whether two texts have the same units in order and, if either is made of fields, the same fields."""
+    return a == b or same_text(a, b) and (same_fields(a, b) or fields(a) is fields(b) is None)
+
+
+#: What is compared for rows of a group, for groups with equal wholes and for groups with equal fields.
+SAME = {"row": same_row, "text": same_text, "fields": same_fields}
+
+
 # Spark
 
 
@@ -371,65 +385,42 @@ def hashed(rows: DataFrame, id_col: str, text_col: str, seed: int = 0, bits: int
     return spread(texts).mapInArrow(run, "id bigint, l1 bigint, l2 bigint, m1 bigint, m2 bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, n, ...) with ``ok``: whether the texts of both are one message.
+def _attach(rows: DataFrame, heads: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``heads``, whose column ``size`` counts the rows of each key.
+
+    Keys of ``HOT_ROWS`` rows or more, of which there are ``MAX_HOT`` at most, are broadcast, so no task gets the rows of a hot key.
+    """
+    hot_from = max(HOT_ROWS, total // MAX_HOT)
+    hot = F.broadcast(heads.where(F.col(size) >= hot_from))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(heads.where(F.col(size) < hot_from), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
+def _checked(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """``items`` (level, id, head, root, n) other than heads, with ``ok``: whether the texts of ``id`` and ``head`` are the same in the sense of the level.
 
-    ``n`` is the size of b's group; where it is large, b's text is repeated under as many salts as its group
+    ``n`` is the size of the head's group; where it is large, the head's text is repeated under as many salts as its group
     needs, so a hot group is spread.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            ok = pa.array([same_message(x, y) for x, y in zip(ta, tb)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("a", "b", "level")] + [ok], ["a", "b", "level", "ok"])
+            levels, ta, tb = (batch.column(k).to_pylist() for k in ("level", "ta", "tb"))
+            ok = pa.array([SAME[k](x, y) for k, x, y in zip(levels, ta, tb)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("level", "id", "head", "root")] + [ok], ["level", "id", "head", "root", "ok"])
 
+    pairs = items.where("id <> head")
     parts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    left = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), parts).cast("int"))
-    heads = pairs.groupBy("b").agg(F.max(parts).alias("parts"))
-    heads = heads.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    heads = heads.select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(heads, ["b", "salt"])
-    return both.select("a", "b", "level", "ta", "tb").mapInArrow(run, "a bigint, b bigint, level string, ok boolean")
-
-
-def _one_round(texts: DataFrame, seed: int, bits: int) -> tuple[DataFrame, bool]:
-    """Members ``(id, kept)`` of the classes of two or more rows, and whether every comparison confirmed them."""
-    spark = texts.sparkSession
-    path = shared_path(spark, f"format-hashes-{uuid.uuid4().hex}")
-    hashed(texts, "id", "text", seed, bits).write.parquet(path)
-    rows = spark.read.parquet(path)
-    groups = rows.groupBy("l1", "l2").agg(
-        F.count("*").alias("n"),
-        F.min("id").alias("low"),
-        # one labelled row stands for the group: its id and both halves of its hash belong together
-        F.max_by("id", "m1").alias("fielded"),
-        F.max("m1").alias("m1"),
-        F.max_by("m2", "m1").alias("m2"),
-    )
-    plain = groups.where("m1 is null and n > 1").select(
-        "l1", "l2", "n", F.col("low").alias("rep"), F.col("low").alias("kept"), F.col("low").alias("head")
-    )
-    with_fields = groups.where("m1 is not null").withColumnRenamed("fielded", "rep")
-    # few rows of few columns: one per group of labelled messages
-    classes = with_fields.groupBy("m1", "m2").agg(F.min("low").alias("kept"), F.min("rep").alias("head"), F.sum("n").alias("total"))
-    ordered = with_fields.join(classes.where("total > 1"), ["m1", "m2"]).select("l1", "l2", "n", "rep", "kept", "head")
-    heads = spark.read.parquet(_write(plain.union(ordered), spark, "format-groups"))
-    # groups of a large share of all rows: at most 1 / HOT_SHARE of them, so they may be broadcast
-    hot_from = F.lit(max(1000, int(rows.count() * HOT_SHARE)))
-    keys = rows.select("id", "l1", "l2")
-    hot = F.broadcast(heads.where(F.col("n") >= hot_from))
-    hot_rows = keys.join(hot, ["l1", "l2"])
-    cold_rows = keys.join(hot.select("l1", "l2"), ["l1", "l2"], "left_anti").join(heads.where(F.col("n") < hot_from), ["l1", "l2"])
-    members = spark.read.parquet(_write(hot_rows.union(cold_rows).select("id", "n", "rep", "kept", "head"), spark, "format-members"))
-    within = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"), "n", F.lit("text").alias("level"))
-    # heads of labelled classes may have many orders of fields, so their groups' sizes are counted as well
-    orders = heads.where("rep <> head")
-    across = orders.join(orders.groupBy("head").agg(F.count("*").alias("k")), "head").select(
-        F.col("rep").alias("a"), F.col("head").alias("b"), F.col("k").alias("n"), F.lit("fields").alias("level")
-    )
-    checked = _verified(within.union(across), texts)
-    return members.select("id", "kept"), checked.where("not ok").isEmpty()
+    left = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    heads = pairs.groupBy("head").agg(F.max(parts).alias("parts"))
+    heads = heads.join(texts.select(F.col("id").alias("head"), F.col("text").alias("tb")), "head")
+    heads = heads.select("head", "tb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    both = left.join(texts.select("id", F.col("text").alias("ta")), "id").join(heads, ["head", "salt"])
+    return both.select("level", "id", "head", "root", "ta", "tb").mapInArrow(run, "level string, id bigint, head bigint, root bigint, ok boolean")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    return df.sparkSession.read.parquet(_write(df, df.sparkSession, name))
 
 
 def _write(df: DataFrame, spark, name: str) -> str:
@@ -438,19 +429,91 @@ def _write(df: DataFrame, spark, name: str) -> str:
     return path
 
 
+def components(edges: DataFrame, total: int) -> DataFrame:
+    """``node, root`` of every node of ``edges`` (a, b): the smallest node that it is connected with, over any number of edges."""
+    both = _written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "format-edges")
+    labels = _written(both.groupBy("a").agg(F.count("*").alias("k")).select(F.col("a").alias("node"), F.col("a").alias("root"), "k"), "format-labels")
+    while True:
+        told = _attach(both, labels.withColumnRenamed("node", "a"), ["a"], "k", total).groupBy("b").agg(F.min("root").alias("low"))
+        new = labels.join(told.withColumnRenamed("b", "node"), "node")
+        new = _written(new.select("node", F.least("root", "low").alias("root"), "k", (F.col("low") < F.col("root")).alias("moved")), "format-labels")
+        labels = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return labels.select("node", "root")
+
+
+def _settled(checked: DataFrame, texts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (level, id, head, root) that hold and the heads (level, id, root) that came anew, after all refuted rows have found their like.
+
+    Of the rows that aren't what their head is, the smallest becomes the next head of its group, until nothing is refuted.
+    """
+    sure, fresh = [checked.where("ok").drop("ok")], []
+    while not (bad := checked.where("not ok")).isEmpty():
+        heads = _written(bad.groupBy("level", "root").agg(F.min("id").alias("next"), F.count("*").alias("n")), "format-heads")
+        fresh.append(heads.select("level", F.col("next").alias("id"), "root"))
+        items = _attach(bad.select("level", "id", "root"), heads, ["level", "root"], "n", total)
+        checked = _written(_checked(items.withColumnRenamed("next", "head"), texts), "format-checked")
+        sure.append(checked.where("ok").drop("ok"))
+    none = texts.sparkSession.createDataFrame([], "level string, id bigint, root bigint")
+    return functools.reduce(DataFrame.union, sure), functools.reduce(DataFrame.union, fresh, none)
+
+
+def _links(groups: DataFrame, total: int) -> DataFrame:
+    """Groups of rows that share the hash of the whole or of their fields with others, each with the first of those."""
+
+    def level(name: str, some: DataFrame, keys: list[str]) -> DataFrame:
+        heads = _written(some.groupBy(*keys).agg(F.min("p").alias("head"), F.count("*").alias("k")).where("k > 1"), "format-heads")
+        out = _attach(some.select("p", *keys), heads, keys, "k", total)
+        return out.select(F.lit(name).alias("level"), F.col("p").alias("id"), "head", F.col("head").alias("root"), F.col("k").alias("n"))
+
+    return level("text", groups, ["l1", "l2"]).union(level("fields", groups.where("labelled"), ["m1", "m2"]))
+
+
 def same_messages(rows: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
     """``id, kept_id`` of every row with another one of the same message; ``kept_id`` is the smallest id.
 
-    Null texts are no messages. Texts without a counting character (empty, blank, punctuation) are one message. Every
-    copy is compared with its group's first row; if any comparison refutes a collision, all rows are hashed
-    again with other seeds, so a collision neither joins nor loses rows. Ids are unique.
+    Rows are grouped by both hashes: of the whole and of the fields in any order. Groups with equal wholes or equal fields are linked, and
+    messages are the connected components, so a text that can be cut into fields in two ways links all that equal it under either.
+    Every row is compared with its group's first one, every group with the first of those it is linked with. Rows that a comparison
+    refutes are compared among themselves, so a collision neither joins nor loses rows and leaves all other groups as they are.
+
+    Null texts are no messages. Texts without a counting character (empty, blank, punctuation) are one message. Ids are unique.
     """
     texts = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    for seed in range(ROUNDS):
-        members, sure = _one_round(texts, seed, bits if seed == 0 else 64)
-        if sure:
-            return members.select("id", F.col("kept").alias("kept_id"))
-    raise RuntimeError(f"hashes collided under {ROUNDS} seeds")
+    hashes = _written(hashed(texts, "id", "text", 0, bits), "format-hashes")
+    total = hashes.count()
+    # texts without fields have no second hash
+    m1, m2 = (F.coalesce(m, F.lit(0)).alias(m) for m in ("m1", "m2"))
+    hashes = hashes.select("id", "l1", "l2", m1, m2, F.col("m1").isNotNull().alias("labelled"))
+    by = ["l1", "l2", "m1", "m2", "labelled"]
+    groups = _written(hashes.groupBy(*by).agg(F.min("id").alias("p"), F.count("*").alias("n")), "format-groups")
+    own = _attach(hashes, groups.where("n > 1"), by, "n", total)
+    own = own.select(F.lit("row").alias("level"), "id", F.col("p").alias("head"), F.col("p").alias("root"), "n")
+    checked = _written(_checked(own.union(_links(groups, total)), texts), "format-checked")
+    refuted = not checked.where("not ok").isEmpty()
+    sure = checked.drop("ok")
+    if refuted:
+        of_rows, fresh = _settled(checked.where("level = 'row'"), texts, total)
+        fresh = fresh.join(groups.drop("n").withColumnRenamed("p", "root"), "root").select(*by, F.col("id").alias("p"), F.lit(1).cast("bigint").alias("n"))
+        links = _written(_checked(_links(_written(groups.union(fresh), "format-groups"), total), texts), "format-checked")
+        sure = _written(of_rows.union(_settled(links, texts, total)[0]), "format-sure")
+
+    # groups with the same fields meet in their first one; what is left to connect are equal wholes
+    meet = sure.where("level = 'fields'").select(F.col("id").alias("p"), F.col("head").alias("c"))
+    edges = sure.where("level = 'text'").select("id", "head")
+    edges = edges.join(meet.withColumnRenamed("p", "id"), "id", "left").select(F.coalesce("c", "id").alias("a"), "head")
+    edges = edges.join(meet.withColumnRenamed("p", "head"), "head", "left").select("a", F.coalesce("c", "head").alias("b")).where("a <> b")
+    edges = _written(edges, "format-links")
+    firsts = sure.where("level <> 'row'").select(F.explode(F.array("id", "head")).alias("p")).distinct().join(meet, "p", "left")
+    firsts = firsts.select("p", F.coalesce("c", "p").alias("kept"))
+    if not edges.isEmpty():
+        roots = components(edges, total)
+        firsts = firsts.join(roots, F.col("kept") == F.col("node"), "left").select("p", F.coalesce("root", "kept").alias("kept"))
+    pairs = sure.where("level = 'row'").select("id", F.col("head").alias("p"))
+    sizes = pairs.groupBy("p").agg(F.count("*").alias("n")).join(firsts, "p", "full").select("p", F.coalesce("kept", "p").alias("kept"), F.coalesce("n", F.lit(0)).alias("n"))
+    sizes = _written(sizes, "format-kept")
+    out = _attach(pairs, sizes, ["p"], "n", total).select("id", F.col("kept").alias("kept_id"))
+    return out.union(sizes.select(F.col("p").alias("id"), "kept"))
 
 
 def collapse(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -94,8 +94,11 @@ def dress(rng, text):
     return text + rng.choice(["", "!", "  ", "…"])
 
 
-@pytest.mark.parametrize("bits", [64, 5])
-def test_classes_against_brute_force(spark, bits):
+@pytest.mark.parametrize("bits, hot", [(64, None), (5, None), (64, 10)])
+def test_classes_against_brute_force(spark, monkeypatch, bits, hot):
+    if hot:
+        monkeypatch.setattr(f, "HOT_ROWS", hot)
+        monkeypatch.setattr(f, "SALT_ROWS", hot)
     rng = random.Random(bits)
     base = [f"gasté {i}.{i % 7}00 en bar Ñandú" for i in range(40)] + [f"monto: {i}, lugar: bar {i % 3}, fecha: 1/2/2025" for i in range(30)]
     rows = []
@@ -112,6 +115,34 @@ def test_classes_against_brute_force(spark, bits):
     assert {(r["kept_id"], r["id"]) for r in got.where("id <> kept_id").collect()} == brute([r[:2] for r in rows])
 
 
+def pairs(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "conv_id long, input string")
+    return {(r["kept_id"], r["id"]) for r in f.same_messages(df, "conv_id", "input").where("id <> kept_id").collect()}
+
+
+def test_links_through_every_way_to_cut_fields(spark):
+    assert pairs(spark, ["a: bc d: e", "ab: c d: e", "d: e ab: c"]) == {(1, 2), (1, 3)}
+    # 1 and 2 are equal as wholes, 2 and 3 as fields, 3 and 4 as wholes, 4 and 5 as fields
+    assert pairs(spark, ["a: bc d: ef", "ab: c d: ef", "d: ef ab: c", "de: f ab: c", "ab: c de: f", "other: x, y: z"]) == {(1, k) for k in (2, 3, 4, 5)}
+
+
+def test_texts_that_collide_under_every_base(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: "b", 98: "a"})
+    other = word.translate({97: "b", 98: "a"})
+    l1, l2, *_ = f.hash_texts([word, other])
+    assert l1[0] == l1[1] and l2[0] == l2[1]
+    texts = [word, other, word.upper(), other + "!", "hola", "Hola", word + " ", f"x: {word}, y: 1", f"y: 1, x: {other}", f"y: 1; x: {word}"]
+    assert pairs(spark, texts) == {(1, 3), (1, 7), (2, 4), (5, 6), (8, 10)}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 9)] + [(20, 30), (40, 30), (50, 50)] + [(100, k) for k in range(101, 300)]
+    got = {r["node"]: r["root"] for r in f.components(spark.createDataFrame(edges, "a long, b long"), 1000).collect()}
+    assert got == {**dict.fromkeys(range(1, 10), 1), 20: 20, 30: 20, 40: 20, 50: 50, **dict.fromkeys(range(100, 300), 100)}
+
+
 def test_unlabelled_copy_joins_its_class(spark):
     rows = [(1, "x: 1, y: 2"), (2, "y: 2, x: 1"), (3, "y 2 x 1")]
     df = spark.createDataFrame(rows, "conv_id long, input string")
