@@ -44,14 +44,14 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return defects.find_defects(table(spark, d, "predictions")).where("defect is not null")
+    return defects.find_defects(table(spark, d, "predictions")).where("defect is not null").select("pred_id", "defect")
 
 
 def p3_by_model(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each model by kind of defect."""
+    """Rows of each model by kind of defect and, for truncated ones, by what tells it."""
     rows = table(spark, d, "predictions")
     found = defects.find_defects(rows)
-    return found.join(rows.select("pred_id", "model"), "pred_id").groupBy("model", "defect").agg(F.count("*").alias("n"))
+    return found.join(rows.select("pred_id", "model"), "pred_id").groupBy("model", "defect", "evidence").agg(F.count("*").alias("n"))
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:

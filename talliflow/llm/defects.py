@@ -1,9 +1,11 @@
 """Broken prompt-response pairs: empty, truncated, refused, copied or in another language.
 
-Prose answers are sorted by text over the whole table and each is compared with its neighbour: one that
-another continues is a shortened version. Lengths at which answers of a model pile up without a proper
-end are taken for length limits. Then rules for refusals, copies and language follow, the first defect that
-applies in the order above wins.
+Answers are sorted by text over the whole table and each is compared with its neighbour: one that another continues is a
+shortened version. They are sorted as whole texts and, as answers differ in names and numbers, by their shapes: a JSON answer without
+its values, each sentence of prose with a mark for what the message says. An answer without a proper end whose last piece
+a neighbour goes on is truncated. Lengths at which many different answers of a model stop are length limits, and prose of
+such a length is truncated, too. Then rules for refusals, copies and language follow, the first defect that applies in
+the order above wins.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from talliflow.session import shared_path, spread
 
-#: A length is a limit of a model if it has at least this share of its open-ended answers and as many rows.
-SPIKE_SHARE, SPIKE_ROWS = 0.1, 50
+#: A length is a limit of a model if this share of the answers that are as long or longer stop there, and this many times as many as at the
+#: lengths up to ``SPIKE_WINDOW`` away on average (one is added to the average, so single long answers are none).
+SPIKE_SHARE, SPIKE_RATIO, SPIKE_WINDOW = 0.5, 20, 10
 
 #: Answers that stand for none.
 PLACEHOLDERS = set(
@@ -50,7 +53,7 @@ REFUSALS = re.compile(
     re.X,
 )
 #: What an answer reads like that did the task.
-DONE = re.compile(r"\b(?:sume|anote|anotado|quedo registrado|recorded|saved an?|there is now|registrou|anotei|foi salvo)\b")
+DONE = re.compile(r"\b(?:sume|anote|anotado|quedo registrado|i recorded|recorded an?|saved an?|there is now|registrou|anotei|foi salvo)\b")
 
 #: Words of each language; those that stand in two of the lists tell nothing.
 _WORDS = {
@@ -82,6 +85,16 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…][\"'»”’)\]*_`\s]*\Z")
 _OPEN_NUMBER = re.compile(r"(\d[\d.,]*?)[.,]\Z")
 _AMOUNT = re.compile(r"(?:(?<![^\W_])|u\$s|usd|eur)\d", re.I)
+#: An end of a sentence or of a JSON value.
+_ENDS = r"(?U)[.!?…\]}][\"'»”’)\]*_`\s]*\z"
+#: A value of a JSON member, also one that breaks off.
+_VALUE = re.compile(r'(:\s*)(?:"(?:[^"\\]++|\\.)*+(?:"|\\?\Z)|[^\s,\]}"\[{]++)?', re.S)
+#: Words and numbers that are masked, currency signs before and blanks between masks, ends of sentences.
+_MASKED = re.compile(r"[^\W_]+(?:[.,]\d+)*")
+_SIGN = re.compile(r"(?:[$€]|u\$[sd])\s*(?=§)", re.I)
+_MARKS = re.compile(r"§(?:[\s.,$€]*§)+")
+_TAIL = re.compile(r"(?:(?<=§)[.,]|(?:\bu)?[$€]|\bu\$[sd])*\s*\Z", re.I)
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _FENCE = re.compile(r"\A```[\w-]*[ \t]*\r?\n?|\s*```\Z")
 
 
@@ -178,31 +191,31 @@ class Parsed:
     def __init__(self, raw: str | None) -> None:
         self.kind, self.text = "empty", ""
         body = unwrap(raw) if raw is not None else ""
-        key = letters(body) if len(body) < 64 or body[0] not in '[{"' else "-"
-        if not key or key in PLACEHOLDERS:
-            if body.startswith("[") and body.endswith("]") and not key and not body[1:-1].strip():
-                self.kind = "list"
-            elif body[:1] in "[{" and body and body.rstrip()[-1] not in "]}":
-                self.kind = "broken"
+        if body[:1] not in tuple('[{"'):
+            key = letters(body)
+            if key and key not in PLACEHOLDERS:
+                self.kind, self.text = "text", body
             return
-        if body[0] in '[{"':
-            try:
-                value, end = _DECODER.raw_decode(body)
-            except (ValueError, RecursionError) as e:
-                at_end = getattr(e, "pos", 0) >= len(body) or "Unterminated" in str(e) or not _closed(body)
-                self.kind, self.text = ("broken", body) if body[0] in "[{" and at_end else ("text", body)
-                return
-            rest = body[end:].strip().strip("`").strip()
-            if _hollow(value) and not rest:
-                return
-            items = value if isinstance(value, list) else [value]
-            if all(isinstance(x, dict) and x.get("amount") is not None for x in items) and items:
-                self.kind = "records"
-                self.text = " . ".join([x["description"] for x in items if isinstance(x.get("description"), str)] + ([rest] if rest else []))
-            else:
-                self.kind, self.text = "leaves", "\n".join([*_strings(value), *([rest] if rest else [])]).strip()
+        try:
+            value, end = _DECODER.raw_decode(body)
+        except (ValueError, RecursionError) as e:
+            key = letters(body)
+            at_end = getattr(e, "pos", 0) >= len(body) or "Unterminated" in str(e) or not _closed(body)
+            if body[0] in "[{" and at_end:
+                self.kind, self.text = "broken", body
+            elif key and key not in PLACEHOLDERS:
+                self.kind, self.text = "text", body
             return
-        self.kind, self.text = "text", body
+        rest = body[end:].strip().strip("`").strip()
+        if _hollow(value) and not rest:
+            self.kind = "list" if value == [] else "empty"
+            return
+        items = value if isinstance(value, list) else [value]
+        if all(isinstance(x, dict) and x.get("amount") is not None for x in items) and items:
+            self.kind = "records"
+            self.text = " . ".join([x["description"] for x in items if isinstance(x.get("description"), str)] + ([rest] if rest else []))
+        else:
+            self.kind, self.text = "leaves", "\n".join([*_strings(value), *([rest] if rest else [])]).strip()
 
 
 def _closed(body: str) -> bool:
@@ -241,59 +254,112 @@ def is_copy(message: str, text: str) -> bool:
     return len(own) > 8 and own in lines
 
 
-def open_ended(message: str, text: str) -> bool:
-    """Whether prose stops without an end of a sentence, or within a number of the message."""
-    if not _END.search(text):
-        return True
+def cut_number(message: str, text: str) -> bool:
+    """Whether prose stops within a number of the message."""
     cut = _OPEN_NUMBER.search(text)
     return bool(cut) and re.search(re.escape(cut.group(1)) + r"[.,]?\d", message) is not None and not re.search(
         r"(?<![\d.,])" + re.escape(cut.group(1)) + r"(?![.,]?\d)", message
     )
 
 
-def defect(message: str | None, raw: str | None, continued: str | None = None, at_limit: bool = False) -> str | None:
-    """The first defect that applies, or None.
+def open_ended(message: str, text: str) -> bool:
+    """Whether prose stops without an end of a sentence, or within a number of the message."""
+    return not _END.search(text) or cut_number(message, text)
+
+
+def masked(sentence: str, own: set[str], cut: bool = False) -> str:
+    """A sentence with one mark for each stretch of numbers and of words ``own``, those of the message.
 
-    ``continued`` is how the neighbour in text order goes on after this answer (None if it doesn't begin with it), ``at_limit``
-    whether the answer has a length at which its model's answers pile up.
+    Of a sentence that is ``cut``, a last word that is only begun is left out if a word of the message begins so, as are a sign and the marks
+    of a number at the end. So what is masked of a shortened sentence is the beginning of what is masked of the whole one.
+    """
+    out: list[str] = []
+    at = 0
+    for m in _MASKED.finditer(sentence):
+        word = m.group().lower()
+        hit = any(c.isdigit() for c in word) or len(word) > 2 and word in own
+        if cut and not hit and m.end() == len(sentence) and any(w.startswith(word) for w in own):
+            out.append(sentence[at : m.start()])
+            at = m.end()
+        elif hit:
+            out += [sentence[at : m.start()], "§"]
+            at = m.end()
+    text = _SIGN.sub("", "".join([*out, sentence[at:]]))
+    text = _MARKS.sub("§", text).strip()
+    return _TAIL.sub("", text) if cut else text
+
+
+def words_of(message: str) -> set[str]:
+    return {w.lower() for w in _MASKED.findall(message)}
+
+
+def shape(body: str) -> str:
+    """A JSON text without values and blanks (J)."""
+    return "J" + "".join(_VALUE.sub(r"\1", body).split())
+
+
+def pieces(message: str, p: Parsed, body: str) -> list[str]:
+    """What may go on another answer: the shape of JSON, of prose the whole text (W) and each sentence that has an end, masked (P)."""
+    if p.kind != "text":
+        return [shape(body)] if body[:1] in ("[", "{") else []
+    own = words_of(message)
+    sentences = _SENTENCE.split(body)
+    return ["W" + body, *("P" + masked(x, own) for x in (sentences[:-1] if open_ended(message, body) else sentences) if x)]
+
+
+def piece_to_find(message: str, p: Parsed) -> str | None:
+    """What of an answer a neighbour may go on: a shape with open brackets; the last sentence, masked, if it has no end; the whole prose
+    if it names no amount that the message states. None if the answer has a proper end."""
+    if p.kind == "broken":
+        return shape(p.text)
+    if p.kind != "text":
+        return None
+    if open_ended(message, p.text):
+        last = _SENTENCE.split(p.text)[-1]
+        return "P" + masked(last, words_of(message), cut=True)
+    return "W" + p.text if states_transaction(message) and not re.search(r"\d", p.text) else None
+
+
+def judged(message: str, p: Parsed, continued: bool, at_limit: bool) -> tuple[str | None, str | None]:
+    """The first defect that applies, or None, and for a truncated answer what tells it: ``neighbour``, ``limit`` or ``syntax``.
+
+    ``continued`` is whether a neighbour in the order of texts goes on after this answer, ``at_limit``
+    whether the answer has a length at which its model's answers pile up. JSON with open brackets breaks off even if no other
+    answer has its form (``syntax``).
     """
-    message = message or ""
-    p = Parsed(raw)
     if p.kind == "empty" or p.kind == "list" and states_transaction(message):
-        return "empty"
+        return "empty", None
     if p.kind == "list":
-        return None
+        return None, None
     if p.kind == "broken":
-        return "truncated"
+        return "truncated", "neighbour" if continued else "limit" if at_limit else "syntax"
     copied = p.kind in ("text", "leaves") and is_copy(message, p.text)
     refused = p.kind in ("text", "leaves") and not copied and refuses(p.text)
     if p.kind == "text" and not copied:
-        if open_ended(message, p.text) or at_limit and continued is not None:
-            return "truncated"
-        if continued and (continued[0].isalnum() or states_transaction(message) and not re.search(r"\d", p.text) and not refused):
-            return "truncated"
+        if continued and (open_ended(message, p.text) or not refused and states_transaction(message) and not re.search(r"\d", p.text)):
+            return "truncated", "neighbour"
+        if at_limit:
+            return "truncated", "limit"
     if refused:
-        return "refusal"
+        return "refusal", None
     if copied:
-        return "copy"
+        return "copy", None
     theirs = language(p.text) if p.text else None
     if theirs and theirs != (language(message) or HOME):
-        return "language"
-    return None
+        return "language", None
+    return None, None
 
 
-# Spark
+def defect(message: str | None, raw: str | None, continued: bool | None = None, at_limit: bool = False) -> str | None:
+    """The first defect of an answer. If it isn't known whether a neighbour goes on, one is taken to do so where the answer has no end."""
+    p = Parsed(raw)
+    return judged(message or "", p, open_ended(message or "", p.text) if continued is None else continued, at_limit)[0]
 
-#: Prose: what doesn't begin, after blanks and an opening fence, like a JSON value.
-_NOT_PROSE = r"(?U)\A[\s\p{Cf}]*(?:```[\w-]*[\s\p{Cf}]*)?(?:[\[{\"]|\z)"
-#: Copies of the small side of the join with prose, so that a text of very many rows is spread.
-SALTS = 8
 
+# Spark
 
-def with_prose(rows: DataFrame) -> DataFrame:
-    """Rows whose ``raw`` is prose, with ``prose``: without fence, blanks and invisible characters around it."""
-    bare = F.regexp_replace("raw", r"(?U)\A[\s\p{Cf}]*(?:```[\w-]*\s*)?|[\s\p{Cf}]*(?:```)?[\s\p{Cf}]*\z", "")
-    return rows.where(F.col("raw").isNotNull() & ~F.col("raw").rlike(_NOT_PROSE)).withColumn("prose", bare)
+#: Copies of the small side of the join with answers that may be cut, so that a piece of very many rows is spread.
+SALTS = 8
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,43 +406,70 @@ def continued_texts(prose: DataFrame) -> DataFrame:
     return rows.where("kind = 'pair'").select("prose", "next_char").union(ends)
 
 
-def length_limits(prose: DataFrame) -> DataFrame:
-    """``model, n``: lengths at which a model's open-ended answers pile up."""
-    ends = r"(?U)[.!?…][\"'»”’)\]*_`\s]*\z"
-    counts = prose.where(~F.col("prose").rlike(ends)).groupBy("model", F.length("prose").alias("n")).agg(F.count("*").alias("k"))
-    total = counts.groupBy("model").agg(F.sum("k").alias("total"))
-    return counts.join(total, "model").where((F.col("k") >= SPIKE_ROWS) & (F.col("k") >= SPIKE_SHARE * F.col("total"))).select("model", "n")
+def length_limits(answers: DataFrame) -> DataFrame:
+    """``model, n``: lengths at which a model's different answers (column ``prose``) pile up, beyond which there are few and where most have no end.
+
+    Repeated answers count once, so an answer that is often given makes no limit; nor does a form whose answers all have one length and an end. A window runs over the lengths that a model's answers have.
+    """
+    counts = answers.groupBy("model", F.length("prose").alias("n")).agg(
+        F.approx_count_distinct("prose").alias("k"), F.approx_count_distinct(F.when(~F.col("prose").rlike(_ENDS), F.col("prose"))).alias("open")
+    )
+    up = W.partitionBy("model").orderBy("n")
+    near = F.sum("k").over(up.rangeBetween(-SPIKE_WINDOW, SPIKE_WINDOW)) - F.col("k")
+    longer = F.sum("k").over(up.rowsBetween(0, W.unboundedFollowing))
+    spike = (F.col("k") >= SPIKE_SHARE * F.col("longer")) & (F.col("k") >= SPIKE_RATIO * (1 + F.col("near") / (2 * SPIKE_WINDOW)))
+    spike = spike & (2 * F.col("open") > F.col("k"))
+    return counts.withColumn("near", near).withColumn("longer", longer).where(spike).select("model", "n")
 
 
-def find_defects(predictions: DataFrame) -> DataFrame:
-    """``pred_id, defect`` for every row; ``defect`` is null for a proper answer.
+def find_defects(predictions: DataFrame, neighbours: bool = True, limits: bool = True) -> DataFrame:
+    """``pred_id, defect, evidence`` for every row; ``defect`` is null for a proper answer, ``evidence`` for all but truncated ones.
 
     A null or blank answer is ``empty``; a null message states nothing and is taken for the data's own language. Repeated rows get the same
-    defect each. Nothing is dropped: rows whose answer is no prose skip the neighbour stage only.
+    defect each. Nothing is dropped: rows whose answer has a proper end skip the join with the pieces that neighbours go on.
+    Prose without an end that no other answer goes on and that has no limit's length is no defect. ``neighbours`` and ``limits`` switch
+    these steps off, to see what they find.
     """
     rows = predictions.select(
         F.col("pred_id").alias("id"), "model", F.col("input").alias("message"), F.col("raw_response").alias("raw")
     )
-    hasprose = F.coalesce(~F.col("raw").rlike(_NOT_PROSE), F.lit(False))
-    prose = with_prose(rows)
-    # few answers are another one's beginning, so this side is small; it is repeated under each salt
-    cut = continued_texts(prose).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    limits = length_limits(prose).withColumn("limited", F.lit(True))
-    marked = (
-        prose.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        .join(cut, ["prose", "salt"], "left")
-        .withColumn("n", F.length("prose"))
-        .join(limits, ["model", "n"], "left")
-        .select("id", "message", "raw", "next_char", "limited")
-    )
-    rest = spread(rows.where(~hasprose)).select(
-        "id", "message", "raw", F.lit(None).cast("string").alias("next_char"), F.lit(None).cast("boolean").alias("limited")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if limits:
+        at = length_limits(rows.select("model", F.col("raw").alias("prose")).where("prose is not null")).withColumn("limited", F.lit(True))
+        rows = rows.withColumn("n", F.length("raw")).join(at, ["model", "n"], "left")
+    else:
+        rows = rows.withColumn("limited", F.lit(None).cast("boolean"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row's defect, with and without a neighbour that goes on; what such a neighbour has to go on; all pieces (without an id)."""
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("message", "raw", "next_char", "limited")]
-            found = pa.array([defect(m, r, c, bool(x)) for m, r, c, x in zip(*cols)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), found], ["pred_id", "defect"])
-
-    return rest.union(marked).mapInArrow(run, "pred_id bigint, defect string")
+            found, seen = [], set()
+            for m, raw, limited in zip(*(batch.column(k).to_pylist() for k in ("message", "raw", "limited"))):
+                m, p = m or "", Parsed(raw)
+                if neighbours and raw is not None:
+                    seen.update(pieces(m, p, unwrap(raw)))
+                key = piece_to_find(m, p) if neighbours else None
+                seen.update([key] if key is not None else [])
+                without = judged(m, p, False, bool(limited))
+                found.append((key, *(judged(m, p, True, bool(limited)) if key is not None else without), *without))
+            n = len(found)
+            found += [(x, None, None, None, None) for x in seen]
+            ids = pa.concat_arrays([batch.column("id").cast(pa.int64()), pa.nulls(len(seen), pa.int64())])
+            piece = pa.array([False] * n + [True] * len(seen), pa.bool_())
+            cols = list(zip(*found)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([ids, piece, *(pa.array(c, pa.string()) for c in cols)], names)
+
+    names = ["id", "piece", "prose", "if_defect", "if_evidence", "defect", "evidence"]
+    path = shared_path(predictions.sparkSession, f"answers-{uuid.uuid4().hex}")
+    texts = spread(rows.select("id", "message", "raw", "limited"))
+    texts.mapInArrow(look, "id bigint, piece boolean, prose string, if_defect string, if_evidence string, defect string, evidence string").write.parquet(path)
+    looked = predictions.sparkSession.read.parquet(path)
+    out = [F.col("id").alias("pred_id"), "defect", "evidence"]
+    sure = looked.where("not piece and prose is null").select(*out)
+    # few pieces are another one's beginning, so this side is small; it is repeated under each salt
+    cut = continued_texts(looked.where("piece").select("prose"))
+    cut = cut.select("prose", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("cut"))
+    may = looked.where("not piece and prose is not null").withColumn("salt", F.pmod(F.xxhash64("id", "if_defect"), F.lit(SALTS)).cast("int"))
+    may = may.join(cut, ["prose", "salt"], "left")
+    for name in ("defect", "evidence"):
+        may = may.withColumn(name, F.when(F.col("cut"), F.col(f"if_{name}")).otherwise(F.col(name)))
+    return sure.union(may.select(*out))

@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from talliflow.llm import defects as d
 
@@ -101,3 +103,52 @@ def test_tables(spark):
     hot = [("m", MSG, "El resumen se ve desde el menú de tu cuenta.")] * 300
     got = {r["pred_id"]: r["defect"] for r in d.find_defects(rows_of(spark, [("m", long, long), ("m", MSG, long), *hot, ("m", MSG, "[" * 50_000)])).collect()}
     assert got[0] == "copy" and got[1] is None and got[302] == "truncated" and len(got) == 303
+
+
+def test_what_neighbours_and_limits_find(spark):
+    said = "pagué {n} en {place} {name}"
+    done = "Quedó registrado un gasto de {n} para {place} {name}."
+    some = [(f"{i}.{i % 9}00", ("bar", "cooperativa de luz", "club de juegos")[i % 3], f"N{'aeiou'[i % 5]}l{i}ur") for i in range(1, 60)]
+    rows = [("m", said.format(n=n, place=p, name=x), done.format(n=n, place=p, name=x)) for n, p, x in some]
+    rows += [("m", said.format(n=n, place=p, name=x), done.format(n=n, place=p, name=x)[: 12 + 3 * (i % 13)]) for i, (n, p, x) in enumerate(some)]
+    whole, cut = range(59), range(59, 118)
+    # answers of another model stop at 120 characters, some after a full stop
+    rows += [("k", MSG, f"Sumé {i} gastos. " + (f"{i:03d} " * 40)[: 120 - len(f"Sumé {i} gastos. ") - 1] + ".xyz"[i % 4]) for i in range(60)]
+    rows += [("k", MSG, f"Sumé {i} gastos.") for i in range(60)]
+    limited = range(118, 178)
+    df = rows_of(spark, rows)
+
+    def found(**off):
+        return {r["pred_id"]: r["evidence"] for r in d.find_defects(df, **off).where("defect = 'truncated'").collect()}
+
+    both = found()
+    assert set(both) == {*cut, *limited} and not set(whole) & set(both)
+    assert {both[i] for i in cut} == {"neighbour"} and "limit" in {both[i] for i in limited}
+    assert not set(found(neighbours=False)) & set(cut)
+    assert set(limited) - set(found(limits=False)) >= set(range(118, 178, 4))
+
+
+def test_same_defects_at_every_length_of_blanks(spark):
+    for n in (0, 1, 61, 62, 63, 64, 70, 10_000):
+        assert d.defect("hola", "[" + " " * n + "]") is None
+        assert d.defect(MSG, "[" + " " * n + "]") == "empty"
+        assert d.defect("hola", "{" + " " * n + "}") == "empty"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 400), st.sampled_from(["$ 3.047,25", "72 Lucas", "15 EUR", "u$s 949,50", "4k"]), st.sampled_from(["bar Lolo", "cooperativa de luz Fefulur", "club de juegos N. Ñu"]))
+def test_what_is_masked_of_a_beginning_begins_what_is_masked(cut, amount, place):
+    message = f"puse {amount} en {place} ayer"
+    text = f"Anotado: un gasto de {amount} en {place} el día de ayer"
+    part = text[: cut % len(text)]
+    own = d.words_of(message)
+    assert d.masked(text, own).startswith(d.masked(part, own, cut=True))
+    body = json.dumps([REC | {"description": text}, REC], indent=cut % 3 or None, ensure_ascii=False)
+    assert d.shape(body).startswith(d.shape(body[:cut]))
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "m", MSG, GOOD[:60]), (None, "m", MSG, GOOD), (3, "m", MSG, GOOD[:60]), (3, "m", MSG, GOOD[:60]), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "pred_id long, model string, input string, raw_response string")
+    got = sorted(map(repr, map(tuple, d.find_defects(df).collect())))
+    assert got == sorted(map(repr, [(None, "truncated", "neighbour"), (None, None, None), (3, "truncated", "neighbour"), (3, "truncated", "neighbour"), (4, "empty", None)]))
