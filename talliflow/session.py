@@ -27,16 +27,28 @@ def spread(rows: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path for a written table in the folder that all executors share, ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    Tables of an application stand in one folder, which is deleted when the application ends, as results may be read until
+    then. Where the setting is absent a temporary folder is used, on one machine only: on a cluster no executor could read what another wrote.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         global _LOCAL
         _LOCAL = base = _LOCAL or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}"
+    folder = f"{base.rstrip('/')}/tables-{context.applicationId}"
+    if folder not in _CLEARED:
+        _CLEARED.add(folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{folder}/{name}"
 
 
 _LOCAL: str | None = None
+_CLEARED: set[str] = set()
 
 
 _SHIPPED: set[str] = set()
