@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import shutil
 import tempfile
 from pathlib import Path
@@ -41,12 +43,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if folder not in _CLEARED:
         _CLEARED.add(folder)
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
+        atexit.register(_clear, path.getFileSystem(context._jsc.hadoopConfiguration()), path)
     return f"{folder}/{name}"
 
 
+def _clear(files, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, as after a crash; the folder's owner clears then
+        files.delete(path, True)
+
+
 _LOCAL: str | None = None
 _CLEARED: set[str] = set()
 
