@@ -1,12 +1,10 @@
 """Mixing sources to target weights.
 
-Temperature mixing: natural token shares and target shares are joined by a family of weights with one exponent, which
-is bisected so that no source is repeated more often than it may be; sources that can't serve their share give what they
-have. The weights are then realised as budgeted block permutations: whole passes over a source's blocks, each pass
-in another order, and a last pass that stops where the budget ends.
-
-The dealt method picks the exponent from the natural shares alone; as each source has a share of its own to meet here, the
-family runs from the natural shares (exponent 0) to the targets (exponent 1).
+Temperature mixing: the sources' token shares are exponentiated, here in a family that runs from the natural shares (exponent 0) to the target
+shares (exponent 1), as each source has a share of its own to meet. The exponent is bisected to the repetition limits: it's the
+largest at which no source is used more often than it may be. The sources that stop it there give all they have, and the exponent of the
+others is searched for anew, until it can be 1. The weights are realised as budgeted block permutations: each pass over a source takes its blocks in
+another order, and the texts of a block too, and the last pass stops where the budget ends.
 """
 
 from __future__ import annotations
@@ -23,6 +21,8 @@ from talliflow.operators import ranks
 from talliflow.llm.tokens import VOCABULARY, token_count
 from talliflow.session import shared_path, spread
 
+#: Tokens of a block, about, and blocks that a source is cut into at least.
+BLOCK_TOKENS, MIN_BLOCKS = 4_000_000, 64
 #: More wanted sources than this are refused, as their totals come to the driver.
 MAX_SOURCES = 100_000
 
@@ -47,45 +47,62 @@ def weights(natural: list[float], target: list[float], exponent: float) -> list[
     return [r / total for r in raw] if total else raw
 
 
-def budgets(sources: list[Source], size: int) -> tuple[list[float], float]:
-    """Tokens that each source gives to a mix of ``size`` tokens, and the exponent that was found.
+def bisected(over, steps: int = 60) -> float:
+    """The largest exponent below 1 up to which nothing is over its limit, if that is so at 0 and not at 1."""
+    low, high = 0.0, 1.0
+    for _ in range(steps):
+        mid = (low + high) / 2
+        low, high = (mid, high) if not over(mid) else (low, mid)
+    return low
+
 
-    Sources that can't serve ``share`` of the size give their limit. The others share the rest with the largest exponent up to 1
-    under which none passes its limit; where none is small enough, those over it give their limit as well. The mix is
-    smaller than ``size`` only if all sources are at their limits.
+def allocated(sources: list[Source], size: int) -> tuple[list[float], list[float | None]]:
+    """Tokens that each source gives to a mix of ``size`` tokens, and the exponent at which it was stopped by its limit (None: it wasn't).
+
+    As long as the target shares (exponent 1) of the sources left take one of them over its limit, the exponent is bisected; those that
+    stop it give their limit, and the rest of the size goes to the others. The mix is smaller than ``size`` only if all sources are at their limits.
     """
-    out = [0.0] * len(sources)
-    full = [s.limit < s.share * size or s.share <= 0 for s in sources]
-    exponent = 1.0
-    while True:
-        for i, s in enumerate(sources):
-            if full[i]:
-                out[i] = float(s.limit) if s.share > 0 else 0.0
-        rest = [i for i in range(len(sources)) if not full[i]]
-        left = size - sum(out[i] for i in range(len(sources)) if full[i])
-        if not rest or left <= 0:
-            return out, exponent
-        natural = [float(sources[i].tokens) for i in rest]
-        target = [sources[i].share for i in rest]
+    out, stopped = [0.0] * len(sources), [None] * len(sources)
+    rest = [i for i, s in enumerate(sources) if s.share > 0]
+    while rest:
+        left = size - sum(out[i] for i in range(len(sources)) if stopped[i] is not None)
+        natural, target = [float(sources[i].tokens) for i in rest], [sources[i].share for i in rest]
 
         def over(e: float) -> list[int]:
             return [i for i, w in zip(rest, weights(natural, target, e)) if w * left > sources[i].limit * (1 + 1e-12)]
 
-        if not over(1.0):
-            exponent = 1.0
-        elif over(0.0):
-            for i in over(0.0):
-                full[i] = True
-            continue
+        # a source without tokens has no weight at any exponent
+        none = [i for i in rest if sources[i].limit == 0]
+        at_target = over(1.0)
+        if not none and not at_target:
+            for i, w in zip(rest, weights(natural, target, 1.0)):
+                out[i] = w * left
+            break
+        if none or over(0.0):
+            exponent, full = 0.0, none or [i for i in over(0.0) if i in at_target] or at_target
         else:
-            low, high = 0.0, 1.0
-            for _ in range(60):
-                mid = (low + high) / 2
-                low, high = (mid, high) if not over(mid) else (low, mid)
-            exponent = low
-        for i, w in zip(rest, weights(natural, target, exponent)):
-            out[i] = w * left
-        return out, exponent
+            exponent = bisected(over)
+            full = [i for i in over(exponent + 1e-9) if i in at_target] or at_target
+        for i in full:
+            out[i], stopped[i] = float(sources[i].limit), exponent
+        rest = [i for i in rest if i not in full]
+    return out, stopped
+
+
+def mix_exponent(sources: list[Source], size: int) -> float:
+    """The exponent at which all sources that have tokens serve a mix of ``size`` within their limits; 0 if there is none."""
+    some = [s for s in sources if s.limit > 0 and s.share > 0]
+    natural, target = [float(s.tokens) for s in some], [s.share for s in some]
+
+    def over(e: float) -> bool:
+        return any(w * size > s.limit * (1 + 1e-12) for s, w in zip(some, weights(natural, target, e)))
+
+    return 1.0 if not over(1.0) else 0.0 if over(0.0) else bisected(over)
+
+
+def budgets(sources: list[Source], size: int) -> tuple[list[float], float]:
+    """Tokens that each source gives to a mix of ``size`` tokens, and the exponent of the whole mix."""
+    return allocated(sources, size)[0], mix_exponent(sources, size)
 
 
 def _sized(documents: DataFrame, targets: DataFrame, vocabulary: str) -> tuple[DataFrame, list[Source], int]:
@@ -121,40 +138,47 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     wanted shares. It is as large as all documents together (those of unlisted sources, too). A text is used at most
     ``max_repeats`` times; sources match when case, blanks at the ends and separators are ignored. Null texts aren't used, texts without tokens
     add none. Rows with the same id are texts of their own. A null or missing ``max_repeats`` is 1, a null share 0. Report:
-    ``source, share, max_repeats, texts, tokens, wanted_tokens, budget, mixed_tokens, actual_share, short`` with ``short`` where
-    the texts, each used ``max_repeats`` times, have fewer tokens than the share.
+    ``source, share, max_repeats, texts, tokens, wanted_tokens, budget, exponent, stopped_at, mixed_tokens, actual_share, short`` with the exponent at
+    which all sources would be within their limits, the one at which this source was stopped by its limit, and ``short`` where the source was stopped below
+    its share: its texts, each used ``max_repeats`` times, have fewer tokens.
     """
     sizes, sources, size = _sized(documents, targets, vocabulary)
-    given, _ = budgets(sources, size)
+    given, stopped = allocated(sources, size)
+    exponent = mix_exponent(sources, size)
     spark = documents.sparkSession
     plan = []
-    for s, b in zip(sources, given):
+    for s, b, at in zip(sources, given, stopped):
         whole = min(int(b // s.tokens), s.max_repeats) if s.tokens else 0
-        plan.append((s.name, s.share, s.max_repeats, s.texts, s.tokens, s.share * size, b, whole, b - whole * s.tokens))
+        n_blocks = max(MIN_BLOCKS, -(-s.tokens // BLOCK_TOKENS))
+        plan.append((s.name, s.share, s.max_repeats, s.texts, s.tokens, s.share * size, b, exponent, at, whole, b - whole * s.tokens, n_blocks))
     plan_df = spark.createDataFrame(
-        plan, "source string, share double, max_repeats int, texts long, tokens long, wanted_tokens double, budget double, whole int, part double"
+        plan,
+        "source string, share double, max_repeats int, texts long, tokens long, wanted_tokens double, budget double, exponent double, "
+        "stopped_at double, whole int, part double, n_blocks long",
     )
     # passes over each source: at most max_repeats rows a source
     passes = plan_df.where("budget > 0 and tokens > 0").select(
         "source", "tokens", "budget", "whole", "part", F.explode(F.sequence(F.lit(1), F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0))).alias("copy_no")
     )
-    most = max((s.texts for s in sources), default=0)
-    placed = ranks.bucketed(sizes, "source", ["doc_id"], most, seed)
-    inside = W.partitionBy("source", "_bucket").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    # blocks are made by a hash of the ids; Spark broadcasts the plan, a row a source, by its size
+    cut = sizes.join(plan_df.select("source", "n_blocks"), "source")
+    cut = cut.withColumn("_block", F.floor(ranks.fraction(seed, F.col("source"), F.col("doc_id")) * F.col("n_blocks"))).drop("n_blocks")
     # the blocks of each pass in an order of its own; the table has a row per block and pass
-    blocks = ranks.bucketed(sizes, "source", ["doc_id"], most, seed).groupBy("source", "_bucket").agg(F.sum("n").alias("_t"))
-    blocks = blocks.join(passes, "source").withColumn("_o", F.xxhash64(F.lit(seed), "source", "copy_no", "_bucket"))
-    before = W.partitionBy("source", "copy_no").orderBy("_o", "_bucket").rowsBetween(W.unboundedPreceding, -1)
+    blocks = cut.groupBy("source", "_block").agg(F.sum("n").alias("_t"))
+    blocks = blocks.join(passes, "source").withColumn("_o", F.xxhash64(F.lit(seed), "source", "copy_no", "_block"))
+    before = W.partitionBy("source", "copy_no").orderBy("_o", "_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0)))
     # blocks that a partial pass doesn't reach need no rows
     blocks = blocks.where((F.col("copy_no") <= F.col("whole")) | (F.col("_before") < F.col("part")))
-    rows = placed.join(blocks, ["source", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_inside"))
+    # and the texts of a block in an order of the pass
+    rows = cut.join(blocks, ["source", "_block"]).withColumn("_i", F.xxhash64(F.lit(seed), "copy_no", "doc_id"))
+    inside = W.partitionBy("source", "copy_no", "_block").orderBy("_i", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_at", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     rows = rows.where((F.col("copy_no") <= F.col("whole")) | (F.col("_at") + F.col("n") / 2 <= F.col("part")))
     place = ((F.col("copy_no") - 1) * F.col("tokens") + F.col("_at")) / F.col("budget")
     out = rows.select("doc_id", "source", "copy_no", F.col("n").alias("n_tokens"), place.alias("place"))
     got = out.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
-    report = plan_df.drop("whole", "part").join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    report = plan_df.drop("whole", "part", "n_blocks").join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     report = report.withColumn("actual_share", F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(W.partitionBy())))
-    short = (F.col("tokens") * F.col("max_repeats") < F.col("wanted_tokens")) & (F.col("mixed_tokens") < F.col("wanted_tokens"))
+    short = F.col("stopped_at").isNotNull() & (F.col("budget") < F.col("wanted_tokens")) & (F.col("mixed_tokens") < F.col("wanted_tokens"))
     return out, report.withColumn("short", short)

@@ -84,6 +84,43 @@ def test_budgets():
     assert mixing.budgets([], 10) == ([], 1.0) and mixing.budgets([s("a", 1.0, 1, 0)], 0)[0] == [0]
 
 
+def test_exponents():
+    def s(name, share, most, n):
+        return mixing.Source(name, share, most, n, 10)
+
+    # a's limit stops the exponent of the whole mix where a gives all it has; b and c then meet their shares of the rest
+    sources = [s("a", 0.5, 1, 100), s("b", 0.25, 1, 800), s("c", 0.25, 1, 600)]
+    got, stopped = mixing.allocated(sources, 1000)
+    e = mixing.mix_exponent(sources, 1000)
+    assert 0 < e < 1 and stopped == [pytest.approx(e), None, None]
+    w = mixing.weights([100.0, 800.0, 600.0], [0.5, 0.25, 0.25], e)
+    assert w[0] * 1000 == pytest.approx(100, rel=1e-6) and got == [100, pytest.approx(450), pytest.approx(450)]
+    # two limits, one after the other
+    got, stopped = mixing.allocated([s("a", 0.6, 1, 100), s("b", 0.3, 1, 350), s("c", 0.1, 2, 2000)], 1000)
+    assert got == [100, 350, pytest.approx(550)] and 0 < stopped[0] < stopped[1] < 1 and stopped[2] is None
+    # a source with more than the natural mix takes, which only its own target holds within its limit
+    got, stopped = mixing.allocated([s("a", 0.1, 1, 900), s("b", 0.9, 3, 400)], 1300)
+    assert got == [pytest.approx(130), pytest.approx(1170)] and stopped == [None, None]
+
+
+def test_passes_are_different_permutations(spark):
+    df = docs(spark, [10] * 400, "a").union(docs(spark, [10] * 2000, "b").withColumn("doc_id", F.col("doc_id") + 1000))
+    t = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 1)], "source string, share double, max_repeats int")
+    mix, report = mixing.mix(df, t)
+    passes = {}
+    for r in mix.where("source = 'a'").orderBy("place").collect():
+        passes.setdefault(r["copy_no"], []).append(r["doc_id"])
+    assert sorted(passes) == [1, 2, 3] and sorted(passes[1]) == sorted(passes[2]) == list(range(400))
+    for a, b in ((1, 2), (1, 3), (2, 3)):
+        n = len(passes[b])
+        assert passes[a][:n] != passes[b]
+        after = {x: y for x, y in zip(passes[a], passes[a][1:])}
+        # neighbours of one pass are seldom neighbours of another, within blocks as well
+        assert sum(after.get(x) == y for x, y in zip(passes[b], passes[b][1:])) < n / 5
+    rep = {r["source"]: r for r in report.collect()}
+    assert rep["a"]["mixed_tokens"] == rep["b"]["mixed_tokens"] and rep["a"]["exponent"] == 1.0
+
+
 def test_mix(spark):
     df = docs(spark, [40] * 300, "A-a").union(docs(spark, [30] * 200, " a_A").withColumn("doc_id", F.col("doc_id") + 1000)).union(
         docs(spark, [20] * 50, "b").withColumn("doc_id", F.col("doc_id") + 2000)
