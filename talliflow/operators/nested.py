@@ -1,9 +1,10 @@
 """Deeply nested reports as flat tables that keep parent-child links.
 
-Payloads are parsed once into variants. A bottom-up tree automaton, written as column expressions, gives every node
-a state: leaves by their kind, lists by being lists, objects by the states of the children that they have. The
-state routes a child to the typed table of its variant; all children share one supertype table
-of keys and links.
+Payloads are parsed once into variants. A bottom-up tree automaton, written as column expressions, gives every node a state from the
+states of its members: absent or null ones are ``none``, others a list, a scalar or a record, and a record's state is made of its
+members' (:func:`node_state`). The state alone decides: members that are lists or records become children, nodes in state ``none`` are dropped, and
+every other node goes to the typed table of its variant, which is its state. All variants share one supertype table of keys and
+parent links.
 """
 
 from __future__ import annotations
@@ -45,14 +46,58 @@ def field(v: Column, *names: str) -> Column:
     return F.coalesce(*(present(F.try_variant_get(v, f"$.{n}", "variant")) for n in names))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_list(v: Column) -> Column:
     """A list's elements; an object stands for a list of itself; anything else has no elements."""
-    return F.coalesce(
-        F.try_variant_get(v, "$", LIST),
-        F.when(F.try_variant_get(v, "$", OBJECT).isNotNull(), F.array(v)),
+    return let(
+        v,
+        lambda x: F.coalesce(F.try_variant_get(x, "$", LIST), F.when(F.try_variant_get(x, "$", OBJECT).isNotNull(), F.array(x))),
     )
 
 
+def members(v: Column, *names: str) -> Column:
+    """A struct of the named members of an object, all read at once; null where ``v`` is no object."""
+    return F.try_variant_get(v, "$", "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
+
+
+def one_of(m: Column, *names: str) -> Column:
+    """The first of the members that is present."""
+    return F.coalesce(*(present(m[n]) for n in names))
+
+
+#: States of a record: what its members' states make of it. ``typed``: some expected member is present and numbers are numbers; ``lax``: a number
+#: stands as text; ``bare``: no expected member is present. An output with items in its history has ``+history`` behind.
+RECORD_STATES = ["typed", "lax", "bare"]
+
+
+def variants(kind: str) -> list[str]:
+    """All states that the automaton accepts for items of a kind, each of which has its table."""
+    own = RECORD_STATES + ([f"{x}+history" for x in RECORD_STATES] if kind == "output" else [])
+    return own if kind == "counts" else [*own, "scalar"]
+
+
+def node_state(kind: str, v: Column, m: Column, below: Column | None = None) -> Column:
+    """State of a node from the states of its members ``m``; ``below`` is whether a list among them has items."""
+    seen = [present(m[n]) for n in FIELDS[kind]]
+    numbers = [present(m[n]) for n, t in FIELDS[kind].items() if t in ("int", "double")]
+    as_text = [F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)) for x in numbers]
+    record = F.when(F.coalesce(*seen).isNotNull(), F.when(_any(as_text), "lax").otherwise("typed")).otherwise("bare")
+    if below is not None:
+        record = F.concat(record, F.when(below, "+history").otherwise(""))
+    return F.when(F.coalesce(F.is_variant_null(v), F.lit(True)), "none").when(m.isNull(), "scalar").otherwise(record)
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def leaf_state(v: Column) -> Column:
     """State of a node by its own kind: none, list, record, number, flag, digits (a number as text) or text."""
     text = F.try_variant_get(v, "$", "string")
@@ -68,7 +113,7 @@ def leaf_state(v: Column) -> Column:
 
 
 def record_state(kind: str, v: Column) -> Column:
-    """State of a child from the states of its own children.
+    """Which members a child has, in more detail than its variant says.
 
     ``empty`` (no member is present), ``full`` (every expected member is), ``part``; with ``+text`` where a number stands as text
     and ``+more`` where members go beyond the expected ones; ``scalar`` for a child that is no object.
@@ -98,55 +143,88 @@ def entries(reports: DataFrame) -> DataFrame:
 
     Entries stand under ``per_entry_results`` or, in older reports, ``entries``; one object stands for a list.
     """
-    listed = parse_reports(reports).select("report_id", as_list(field(F.col("report"), "per_entry_results", "entries")).alias("es"))
+    names = ("per_entry_results", "entries")
+    listed = reports.select("report_id", let(members(F.try_parse_json("payload"), *names), lambda m: as_list(one_of(m, *names))).alias("es"))
     return listed.select("report_id", F.posexplode("es").alias("p", "entry")).where(present(F.col("entry")).isNotNull()).select(
         "report_id", (F.col("p") + 1).alias("entry_no"), "entry"
     )
 
 
-def _numbered(kind: str, items: Column, parent: Column) -> Column:
-    """Links and nodes of a list's non-null elements as an array of structs."""
-    every = F.transform(
-        F.coalesce(items, F.array().cast(LIST)),
-        lambda x, i: F.struct(F.lit(kind).alias("item_kind"), parent.cast("int").alias("parent_no"), (i + 1).alias("item_no"), x.alias("node")),
+def _item(kind: str, parent: Column, no: Column, node: Column, state: Column) -> Column:
+    return F.struct(
+        F.lit(kind).alias("item_kind"), parent.cast("int").alias("parent_no"), no.cast("int").alias("item_no"), node.alias("node"), state.alias("variant")
     )
-    return F.filter(every, lambda s: ~F.coalesce(F.is_variant_null(s["node"]), F.lit(True)))
+
+
+def _items(kind: str, listed: Column, parent: Column) -> Column:
+    """Links, nodes and states of a list's elements as an array of structs."""
+    return F.transform(
+        F.coalesce(listed, F.array().cast(LIST)),
+        lambda x, i: let(members(x, *FIELDS[kind]), lambda m: _item(kind, parent, i + 1, x, node_state(kind, x, m))),
+    )
+
+
+def _accepted(items: Column) -> Column:
+    return F.filter(items, lambda s: s["variant"] != "none")
 
 
 def children(reports: DataFrame) -> DataFrame:
-    """The supertype table: every child of every entry with its links and its node.
+    """The supertype table: every child of every entry with its links, its node and its variant.
 
-    Columns ``report_id, entry_no, item_kind, parent_no, item_no, node``. ``parent_no`` is the number of the output for
+    Columns ``report_id, entry_no, item_kind, parent_no, item_no, node, variant``. ``parent_no`` is the number of the output for
     ``history``, else 0. Null elements are no items, yet they count in the numbers. An object in place of a list is
     item 1, as is ``counts``. Reports that aren't JSON, have no entries or are null give no rows.
-    No shuffle; each payload is parsed once.
+    No shuffle; each payload is parsed once and each node's members are read once.
     """
-    zero = F.lit(0)
-    e = F.col("entry")
-    outputs = as_list(field(field(e, "conversation"), "outputs", "output"))
-    counts = field(e, "transaction_counts")
-    histories = F.flatten(
-        F.transform(
-            F.coalesce(outputs, F.array().cast(LIST)),
-            lambda o, i: _numbered("history", as_list(field(o, "history")), i + 1),
+    zero, none = F.lit(0), F.array().cast(LIST)
+
+    def output(x: Column, i: Column) -> Column:
+        def with_history(m: Column) -> Column:
+            return let(
+                _accepted(_items("history", as_list(present(m["history"])), i + 1)),
+                lambda hs: F.concat(F.array(_item("output", zero, i + 1, x, node_state("output", x, m, F.size(hs) > 0))), hs),
+            )
+
+        return let(members(x, *FIELDS["output"], "history"), with_history)
+
+    def all_items(m: Column) -> Column:
+        talk = let(members(present(m["conversation"]), "outputs", "output"), lambda c: as_list(one_of(c, "outputs", "output")))
+        counts = let(
+            present(m["transaction_counts"]),
+            lambda x: let(members(x, *FIELDS["counts"]), lambda c: F.when(c.isNotNull(), F.array(_item("counts", zero, F.lit(1), x, node_state("counts", x, c))))),
         )
-    )
-    rows = entries(reports).select(
-        "report_id",
-        "entry_no",
-        F.concat(
-            _numbered("target", as_list(field(e, "parsed_targets", "target")), zero),
-            _numbered("counts", F.when(F.try_variant_get(counts, "$", OBJECT).isNotNull(), F.array(counts)), zero),
-            _numbered("error", as_list(field(e, "error_breakdown")), zero),
-            _numbered("output", outputs, zero),
-            histories,
-        ).alias("items"),
-    )
+        return F.concat(
+            _items("target", as_list(one_of(m, "parsed_targets", "target")), zero),
+            F.coalesce(counts, F.slice(_items("counts", none, zero), 1, 0)),
+            _items("error", as_list(present(m["error_breakdown"])), zero),
+            F.flatten(F.transform(F.coalesce(talk, none), output)),
+        )
+
+    parts = ("parsed_targets", "target", "transaction_counts", "error_breakdown", "conversation")
+    rows = entries(reports).select("report_id", "entry_no", let(members(F.col("entry"), *parts), lambda m: _accepted(all_items(m))).alias("items"))
     return rows.select("report_id", "entry_no", F.inline("items"))
 
 
+def variant_table(items: DataFrame, kind: str, variant: str) -> DataFrame:
+    """The subtype table of one variant: links, typed fields and the raw node as text.
+
+    Numbers of a ``lax`` record are read from texts, too; ``bare`` records and scalars have no fields but ``raw``. A field that can't be
+    read as its type is null; ``raw`` keeps it.
+    """
+    node = F.col("node")
+    record, lax = not variant.startswith(("bare", "scalar")), variant.startswith("lax")
+    cols = []
+    for name, t in FIELDS[kind].items():
+        value = F.try_variant_get(node, f"$.{name}", t) if record else F.lit(None).cast(t)
+        if lax and t in ("int", "double"):
+            value = F.coalesce(value, F.try_variant_get(node, f"$.{name}", "string").try_cast(t))
+        cols.append(value.alias(name))
+    keys = ["report_id", "entry_no", "parent_no", "item_no", "variant"]
+    return items.where((F.col("item_kind") == kind) & (F.col("variant") == variant)).select(*keys, *cols, F.to_json(node).alias("raw"))
+
+
 def typed_table(items: DataFrame, kind: str) -> DataFrame:
-    """The subtype table of ``kind``: links, the node's state (``shape``), typed fields and the raw node as text.
+    """All variants of ``kind`` in one table: links, variant, which members there are (``shape``), typed fields and the raw node as text.
 
     A field that can't be read as its type is null; ``raw`` keeps it.
     """
@@ -158,10 +236,15 @@ def typed_table(items: DataFrame, kind: str) -> DataFrame:
             value = F.coalesce(value, F.try_variant_get(node, f"$.{name}", "string").try_cast(t))
         cols.append(value.alias(name))
     return items.where(F.col("item_kind") == kind).select(
-        "report_id", "entry_no", "parent_no", "item_no", record_state(kind, node).alias("shape"), *cols, F.to_json(node).alias("raw")
+        "report_id", "entry_no", "parent_no", "item_no", "variant", record_state(kind, node).alias("shape"), *cols, F.to_json(node).alias("raw")
     )
 
 
+def write_variants(items: DataFrame, path: str) -> None:
+    """Every variant's items in a folder of their own under ``path``, by kind and variant, in one pass: keys, parent links and the raw node."""
+    items.withColumn("raw", F.to_json("node")).drop("node").write.partitionBy("item_kind", "variant").parquet(path)
+
+
 def entry_table(reports: DataFrame) -> DataFrame:
     """One row per entry: links to the report and the entry's own scalar fields."""
     e = F.col("entry")

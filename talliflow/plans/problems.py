@@ -41,7 +41,12 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.children(table(spark, d, "eval_reports")).drop("node")
+    return nested.children(table(spark, d, "eval_reports")).drop("node", "variant")
+
+
+def p6_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Items of each kind by variant."""
+    return nested.children(table(spark, d, "eval_reports")).groupBy("item_kind", "variant").agg(F.count("*").alias("n"))
 
 
 def p6_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +55,7 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
 
 def _typed(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return nested.typed_table(nested.children(table(spark, d, "eval_reports")), kind).drop("raw")
+        return nested.typed_table(nested.children(table(spark, d, "eval_reports")), kind)
 
     return query
 
@@ -62,6 +67,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_values": p5_values,
     "p6_found": p6_found,
+    "p6_variants": p6_variants,
     "p6_entries": p6_entries,
     **{f"p6_{kind}_table": _typed(kind) for kind in nested.FIELDS},
 }
