@@ -430,11 +430,13 @@ def find_defects(predictions: DataFrame, neighbours: bool = True, limits: bool =
     Prose without an end that no other answer goes on and that has no limit's length is no defect. ``neighbours`` and ``limits`` switch
     these steps off, to see what they find.
     """
-    rows = predictions.select(
-        F.col("pred_id").alias("id"), "model", F.col("input").alias("message"), F.col("raw_response").alias("raw")
-    )
+    rows = spread(predictions.select(F.col("pred_id").alias("id"), "model", F.col("input").alias("message"), F.col("raw_response").alias("raw")))
     if limits:
-        at = length_limits(rows.select("model", F.col("raw").alias("prose")).where("prose is not null")).withColumn("limited", F.lit(True))
+        answers = predictions.select("model", F.col("raw_response").alias("prose")).where("prose is not null")
+        # a written table has a known size, so Spark broadcasts it where that is small and needn't shuffle the answers
+        limit_path = shared_path(predictions.sparkSession, f"answer-limits-{uuid.uuid4().hex}")
+        length_limits(answers).withColumn("limited", F.lit(True)).write.parquet(limit_path)
+        at = predictions.sparkSession.read.parquet(limit_path)
         rows = rows.withColumn("n", F.length("raw")).join(at, ["model", "n"], "left")
     else:
         rows = rows.withColumn("limited", F.lit(None).cast("boolean"))
@@ -460,8 +462,7 @@ def find_defects(predictions: DataFrame, neighbours: bool = True, limits: bool =
 
     names = ["id", "piece", "prose", "if_defect", "if_evidence", "defect", "evidence"]
     path = shared_path(predictions.sparkSession, f"answers-{uuid.uuid4().hex}")
-    texts = spread(rows.select("id", "message", "raw", "limited"))
-    texts.mapInArrow(look, "id bigint, piece boolean, prose string, if_defect string, if_evidence string, defect string, evidence string").write.parquet(path)
+    rows.select("id", "message", "raw", "limited").mapInArrow(look, "id bigint, piece boolean, prose string, if_defect string, if_evidence string, defect string, evidence string").write.parquet(path)
     looked = predictions.sparkSession.read.parquet(path)
     out = [F.col("id").alias("pred_id"), "defect", "evidence"]
     sure = looked.where("not piece and prose is null").select(*out)
