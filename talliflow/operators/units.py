@@ -89,11 +89,11 @@ def automaton(names: dict[str, Term]) -> ahocorasick.Automaton:
 
 def parse_number(text: str) -> float:
     """The value of digits with points and commas: the last kind of two kinds is the decimal mark, a single mark is one
-    if it isn't followed by exactly three digits."""
+    if it isn't followed by exactly three digits, if more than three stand before it or nothing but zeros."""
     marks = [ch for ch in text if ch in ".,"]
     if len(set(marks)) == 2:
         decimal = marks[-1]
-    elif len(marks) == 1 and len(text) - text.index(marks[0]) != 4:
+    elif len(marks) == 1 and (len(text) - (at := text.index(marks[0])) != 4 or at > 3 or not text[:at].strip("0")):
         decimal = marks[0]
     else:
         decimal = ""
@@ -227,8 +227,9 @@ def common_units(
     """One row per target (a null one has no amount): its value in the home currency and how it was found.
 
     Columns: ``entry_id, target_no`` (from 1, null elements count), ``amount, currency, scale, factor, rate, value``
-    (DECIMAL in the home currency, null where no rate is known or the amount is null, not a number or of
-    more than 14 digits), ``centavos`` and ``differs`` (the recorded amount isn't the value).
+    (DECIMAL in the home currency), ``centavos``, ``differs`` (the recorded amount isn't the value) and ``reason``, why there is no value: ``amount`` (null, not a
+    number or of more than 14 digits before the point), ``rate`` (none is known), ``range`` (a scale, factor or rate has more digits than its decimal
+    type, or the value more than 28 before the point). Amounts count to 6 decimal places; no other digit is dropped unseen.
     Unknown sources have the scale 1. The joins are on fixed dimensions, which Spark broadcasts by their
     size; texts cross to Python once per entry.
     """
@@ -276,19 +277,30 @@ def common_units(
     flat = flat.withColumn("rate_month", F.substring("conversation_date", 1, 7))
     joined = flat.join(fx, ["rate_month", "currency"], "left")
     exact = F.col("amount").try_cast("decimal(20,6)")
-    scale = F.col("scale").cast("decimal(14,6)") * F.col("factor").cast("decimal(10,0)")
-    rate = F.when(F.col("currency") == home, F.lit(1)).otherwise(F.col("rate")).cast("decimal(12,4)")
-    own = F.try_multiply(exact, scale).try_cast("decimal(24,8)")
-    value = F.try_multiply(own, rate)
-    return joined.withColumn("value", value).select(
+
+    def fitted(c: Column, kind: str) -> Column:
+        """A decimal that is the number; null if that has more digits."""
+        d = c.try_cast(kind)
+        return F.when(d.cast("double") == c.cast("double"), d)
+
+    rate = F.when(F.col("currency") == home, F.lit(1.0)).otherwise(F.col("rate"))
+    joined = joined.select(
+        "entry_id", "target_no", "amount", "currency", "scale", "factor", rate.alias("rate"), exact.alias("_a"),
+        fitted(F.col("scale"), "decimal(12,6)").alias("_s"), fitted(F.col("factor"), "decimal(16,4)").alias("_f"), fitted(rate, "decimal(16,8)").alias("_r"),
+    )
+    own = F.try_multiply(F.try_multiply("_a", "_s"), F.col("_f")).try_cast("decimal(28,9)")
+    joined = joined.withColumn("value", F.try_multiply(own, F.col("_r")))
+    reason = F.when(F.col("value").isNotNull(), None).when(F.col("_a").isNull(), "amount").when(F.col("rate").isNull(), "rate").otherwise("range")
+    return joined.select(
         "entry_id",
         "target_no",
         "amount",
         "currency",
         "scale",
         "factor",
-        rate.alias("rate"),
+        F.col("_r").alias("rate"),
         "value",
         F.round(F.col("value") * 100, 0).try_cast("bigint").alias("centavos"),
-        (F.col("value") != exact).alias("differs"),
+        (F.col("value") != F.col("_a")).alias("differs"),
+        reason.alias("reason"),
     )

@@ -78,3 +78,23 @@ def test_values(spark):
 def test_repeated_dimension_rows_add_no_rows(spark):
     g, t, r, s = frames(spark, [(1, "10 usd", "2025-01-03", [target(10.0, None)], ("app",), None)])
     assert units.common_units(g, t.union(t), r.union(r), s.union(s)).count() == 1
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [("0.125", 0.125), ("0,125", 0.125), ("00.500", 0.5), ("1.234", 1234), ("1234.567", 1234.567), ("1.234.567", 1234567), ("12,5", 12.5), ("1.234,567", 1234.567), ("7", 7)],
+)
+def test_numbers(text, wanted):
+    assert units.parse_number(text) == wanted
+
+
+def test_small_and_large_factors_and_rates(spark):
+    golden = [(i, m, "2025-01-03", [target(a, c)], ("app",), None) for i, (m, a, c) in enumerate([
+        ("3 medias", 3.0, None), ("1000 rial", 1000.0, "rial"), ("2 gogols", 2.0, None), ("2 raras", 2.0, None), ("1e12 usd", 1e12, "usd"), ("1 xyz", 1.0, "xyz"),
+    ])]
+    g, t, r, s = frames(spark, golden)
+    more = [("media", 0.5, None), ("rial", 1.0, "IRR"), ("gogol", 1e100, None), ("rara", 1.00001, None), ("xyz", 1.0, "XYZ")]
+    t = t.union(spark.createDataFrame(more, t.schema))
+    r = r.union(spark.createDataFrame([("2025-01", "IRR", 0.00004)], r.schema))
+    got = {x["entry_id"]: (x["value"], x["reason"]) for x in units.common_units(g, t, r, s).collect()}
+    assert got == {0: (Decimal("1.5"), None), 1: (Decimal("0.04"), None), 2: (None, "range"), 3: (None, "range"), 4: (Decimal(10) ** 15, None), 5: (None, "rate")}
