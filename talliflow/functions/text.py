@@ -1,7 +1,10 @@
-"""Column functions on text."""
+"""Column functions, most of them on text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,11 @@ MARKED = "áàâãäéèêëíìîïóòôõöúùûüñç"
 PLAIN = "aaaaaeeeeiiiiooooouuuunc"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end; ``trim`` removes spaces only."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -52,3 +60,12 @@ def first_line_after(c: Column, label: str) -> Column:
 def dotted_thousands(c: Column) -> Column:
     """1234567.5 -> ``1.234.567,50``."""
     return F.translate(F.format_number(c, 2), ",.", ".,")
+
+
+def exact_round(c: Column, digits: int) -> Column:
+    """Rounding of the binary value with ties to even, as Python rounds; ``round`` rounds the shortest decimal of the number, ties up."""
+    # format_number loses the digit where it is the number's first one
+    half, unit = float(f"5e-{digits + 1}"), float(f"1e-{digits}")
+    up = F.abs(c) >= half if Decimal(half) > Decimal(f"5e-{digits + 1}") else F.abs(c) > half
+    small = F.when(up, F.signum(c) * unit).otherwise(F.signum(c) * 0.0)
+    return F.when(F.abs(c) < unit, small).otherwise(F.replace(F.format_number(c, digits), F.lit(",")).cast("double"))

@@ -170,8 +170,3 @@ def seq_ratio(a: Column, b: Column) -> Column:
         return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="Float64")
 
     return run(a, b)
-
-
-def py_round(x: Column, digits: int) -> Column:
-    """Correct rounding of the binary value with ties to even, which ``round`` on doubles doesn't give."""
-    return _series(lambda v: None if v is None or pd.isna(v) else round(float(v), digits), T.DoubleType())(x)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talliflow.functions.text import let
+
 LIST = "array<variant>"
 OBJECT = "map<string,variant>"
 
@@ -46,11 +48,6 @@ def field(v: Column, *names: str) -> Column:
     return F.coalesce(*(present(F.try_variant_get(v, f"$.{n}", "variant")) for n in names))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def as_list(v: Column) -> Column:
     """A list's elements; an object stands for a list of itself; anything else has no elements."""
     return let(

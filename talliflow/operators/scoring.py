@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talliflow.functions.text import strip
+from talliflow.functions.text import exact_round, let, strip
 from talliflow.functions.udfs import strict_json
 from talliflow.schemas import TARGETS
+from talliflow.session import spread
 
 #: Weights of a pair's fields, and of the two parts of its date.
 WEIGHTS = {"amount": 0.35, "currency": 0.15, "type": 0.15, "category": 0.15, "temporal": 0.20}
@@ -133,7 +134,7 @@ def pair(p: Column, e: Column, ratio: Column) -> Column:
     """Struct of a pair's score and its six error flags. Two nulls agree; the date's score is rounded before it is weighted."""
     delta = p["date_delta_days"].eqNullSafe(e["date_delta_days"]).cast("double")
     expression = _expression_score(p["date_raw_expression"], e["date_raw_expression"], ratio)
-    temporal = F.round(DELTA_WEIGHT * delta + EXPRESSION_WEIGHT * expression, 4)
+    temporal = exact_round(DELTA_WEIGHT * delta + EXPRESSION_WEIGHT * expression, 4)
     same = {
         "amount": p["amount"].eqNullSafe(e["amount"]),
         "currency": _norm(p["currency"]) == _norm(e["currency"]),
@@ -162,35 +163,50 @@ def greedy(rows: DataFrame) -> DataFrame:
     def scored(t: Column, row: Column) -> Column:
         return F.zip_with(e, F.coalesce(row, F.transform(e, lambda _: none.cast("double"))), lambda x, q: pair(t, x, q))
 
-    work = work.withColumn("_pairs", F.zip_with(p, by_row, scored))
-    state = "struct<used:array<int>,total:double,errors:array<struct<" + ",".join(f"{k}_error:boolean" for k in ERRORS) + ">>>"
+    errors_type = "array<struct<" + ",".join(f"{k}_error:boolean" for k in ERRORS) + ">>"
+    state = f"struct<used:array<int>,total:double,zero:boolean,errors:{errors_type}>"
 
-    def walk(least: float) -> Column:
-        start = F.from_json(F.lit('{"used":[],"total":0.0,"errors":[]}'), state)
+    def walk(pairs: Column, least: float) -> Column:
+        start = F.from_json(F.lit('{"used":[],"total":0.0,"zero":false,"errors":[]}'), state)
 
         def step(acc: Column, row: Column) -> Column:
             ranked = F.transform(row, lambda x, j: F.struct(x["score"].alias("s"), (-j).alias("o"), j.alias("j"), x["errors"].alias("errors")))
             free = F.filter(ranked, lambda x: (x["s"] > least) & ~F.array_contains(acc["used"], x["j"]))
-            best = F.array_max(free)
-            hit = best.isNotNull()
-            return F.struct(
-                F.when(hit, F.concat(acc["used"], F.array(best["j"]))).otherwise(acc["used"]).alias("used"),
-                (acc["total"] + F.coalesce(best["s"], F.lit(0.0))).alias("total"),
-                F.when(hit, F.concat(acc["errors"], F.array(best["errors"]))).otherwise(acc["errors"]).alias("errors"),
-            ).cast(state)
 
-        return F.aggregate("_pairs", start, step)
+            def taken(best: Column) -> Column:
+                return F.when(best.isNull(), acc).otherwise(
+                    F.struct(
+                        F.concat(acc["used"], F.array(best["j"])).alias("used"),
+                        (acc["total"] + best["s"]).alias("total"),
+                        (acc["zero"] | (best["s"] <= 0)).alias("zero"),
+                        F.concat(acc["errors"], F.array(best["errors"])).alias("errors"),
+                    ).cast(state)
+                )
+
+            return let(F.array_max(free), taken)
+
+        return F.aggregate(pairs, start, step)
 
     np_, ne = F.size(p), F.size(e)
-    accuracy = (
-        F.when((np_ == 0) & (ne == 0), 1.0).when((np_ == 0) | (ne == 0), 0.0).otherwise(walk(0.0)["total"] / F.greatest(np_, ne))
-    )
-    return work.withColumn("entity_accuracy", accuracy).withColumn("error_breakdown", walk(-1.0)["errors"]).drop("_ratios", "_pairs")
+
+    def chosen(pairs: Column) -> Column:
+        """Total score and error flags; the walk for the accuracy differs only where a pair without any score was taken."""
+        one = F.get(F.get(pairs, F.lit(0)), F.lit(0))
+        single = F.struct(F.greatest(F.lit(0.0), one["score"]).alias("total"), F.array(one["errors"]).cast(errors_type).alias("errors"))
+        several = let(
+            walk(pairs, -1.0),
+            lambda w: F.struct(F.when(w["zero"], walk(pairs, 0.0)["total"]).otherwise(w["total"]).alias("total"), w["errors"].alias("errors")),
+        )
+        return F.when((np_ == 1) & (ne == 1), single).otherwise(several)
+
+    work = work.withColumn("_g", let(F.zip_with(p, by_row, scored), chosen))
+    accuracy = F.when((np_ == 0) & (ne == 0), 1.0).when((np_ == 0) | (ne == 0), 0.0).otherwise(F.col("_g.total") / F.greatest(np_, ne))
+    return work.withColumn("entity_accuracy", accuracy).withColumn("error_breakdown", F.col("_g.errors")).drop("_ratios", "_g")
 
 
 def evaluate_entries(predictions: DataFrame, golden: DataFrame) -> DataFrame:
     """One row per prediction: strict-JSON score, entity accuracy, category match, counts and error flags of matched pairs."""
-    rows = matched(predictions.select("pred_id", "model", "input", "raw_response", "parsed_targets", "latency_seconds"), golden)
+    rows = matched(spread(predictions.select("pred_id", "model", "input", "raw_response", "parsed_targets", "latency_seconds")), golden)
     keys = (transaction_keys(F.col(f"{c}.amount"), F.col(f"{c}.type")) for c in ("predicted", "expected"))
     rows = rows.withColumn("transaction_counts", transaction_counts(*keys))
     rows = rows.withColumn("category_match", category_match(F.col("predicted.category"), F.col("expected.category")))
@@ -203,11 +219,11 @@ def ratio_of(n: Column, d: Column) -> Column:
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
-    """Micro-averaged precision, recall and F1, each rounded to 4 digits; all 1 where nothing was expected or predicted."""
+    """Micro-averaged precision, recall and F1, each rounded to 4 digits as Python rounds; all 1 where nothing was expected or predicted."""
     none = (tp + fp + fn) == 0
     precision, recall = ratio_of(tp, tp + fp), ratio_of(tp, tp + fn)
     f1 = ratio_of(2 * precision * recall, precision + recall)
-    return [F.round(F.when(none, 1.0).otherwise(c), 4).alias(k) for c, k in ((precision, "precision"), (recall, "recall"), (f1, "f1_score"))]
+    return [exact_round(F.when(none, 1.0).otherwise(c), 4).alias(k) for c, k in ((precision, "precision"), (recall, "recall"), (f1, "f1_score"))]
 
 
 def _flagged(field: str) -> Column:

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from talliflow.functions import udfs
+from talliflow.functions.text import exact_round
 from talliflow.operators import scoring
 from talliflow.schemas import TARGETS
 
@@ -153,9 +154,11 @@ def test_exact_json_and_rounding(spark):
     rows = [([t(description="añ\"o", amount=1e16), None],), ([],), (None,)]
     df = spark.createDataFrame(rows, f"ts {TARGETS}")
     assert [r[0] for r in df.select(udfs.dumps(df.ts)).collect()] == [None if x is None else json.dumps(x, ensure_ascii=False) for (x,) in rows]
-    xs = [0.08875, 2.675, 0.5, -1.005, None]
+    xs = [0.08875, 2.675, 0.5, -1.005, None, 0.15625, 5e-5, 5e-4, -5e-3, 4.9e-5, 0.005, 1e-9, 123456.78905]
+    xs += [a / b for a in range(40) for b in range(1, 40)] + [k / 100_000 for k in range(5, 3000, 10)]
     d2 = spark.createDataFrame([(x,) for x in xs], "x double")
-    assert [r[0] for r in d2.select(udfs.py_round(d2.x, 2)).collect()] == [None if x is None else round(x, 2) for x in xs]
+    for n in (2, 3, 4):
+        assert [r[0] for r in d2.select(exact_round(d2.x, n)).collect()] == [None if x is None else round(x, n) for x in xs]
     d3 = spark.createDataFrame([("abcd", "bcde"), (None, "a")], "a string, b string")
     assert [r[0] for r in d3.select(udfs.seq_ratio(d3.a, d3.b)).collect()] == [0.75, None]
     assert d3.select(udfs.unwrap_objects(d3.a)).count() == 2
