@@ -232,7 +232,7 @@ def _flagged(field: str) -> Column:
 
 
 def report(entries: DataFrame, *by: str) -> DataFrame:
-    """One row (for each value of ``by``): means, micro-averaged scores and error totals over evaluated entries.
+    """One row (for each value of ``by``): means, rounded to 4 digits, micro-averaged scores, error totals and latencies over evaluated entries.
 
     A false negative counts as an error of each field, also beside a wrong pair's own flags. An empty input gives zeros and the scores 1.
     """
@@ -241,7 +241,7 @@ def report(entries: DataFrame, *by: str) -> DataFrame:
     errors = [
         F.coalesce(F.sum(_flagged(k) + F.col(c + "false_negatives")), F.lit(0)).alias(f"{k}_errors") for k in ERRORS
     ]
-    means = [F.coalesce(F.avg(k), F.lit(0.0)).alias(k) for k in ("strict_json_score", "entity_accuracy", "category_match")]
+    means = [exact_round(F.coalesce(F.avg(k), F.lit(0.0)), 4).alias(k) for k in ("strict_json_score", "entity_accuracy", "category_match")]
     totals = entries.groupBy(*by).agg(
         F.count("*").alias("total_entries"),
         *means,
@@ -249,6 +249,7 @@ def report(entries: DataFrame, *by: str) -> DataFrame:
         F.coalesce(F.sum(F.size("error_breakdown")), F.lit(0)).alias("matched_pairs"),
         F.coalesce(F.count_if(F.col("strict_json_score") == 0), F.lit(0)).alias("hard_gate_failures"),
         *errors,
+        *_latencies(),
     )
     return totals.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
@@ -266,6 +267,8 @@ def latency_percentiles(predictions: DataFrame, *by: str) -> DataFrame:
 
     The exact aggregate keeps counts of distinct values, which the clock's resolution bounds.
     """
-    at = F.percentile("latency_seconds", F.array(F.lit(0.5), F.lit(0.99)))
-    out = predictions.groupBy(*by).agg(at.alias("p"))
-    return out.select(*by, *(F.round(F.coalesce(F.get("p", i), F.lit(0.0)), 3).alias(k) for i, k in ((0, "p50_seconds"), (1, "p99_seconds"))))
+    return predictions.groupBy(*by).agg(*_latencies())
+
+
+def _latencies() -> list[Column]:
+    return [exact_round(F.coalesce(F.percentile("latency_seconds", F.lit(q)), F.lit(0.0)), 3).alias(f"{k}_seconds") for q, k in ((0.5, "p50"), (0.99, "p99"))]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talliflow.functions.udfs import parse_response
 from talliflow.operators import balance, chat, generation, profile, quality, roundtrip, scoring, splits, synth, units
+from talliflow.plans import score_sql
 from talliflow.session import table
 from talliflow.streaming import pipelines
 
@@ -49,10 +50,8 @@ def _overlap(a: str, b: str) -> str:
 
 COUNTS = f"""{MATCHED}, c AS (SELECT pred_id, model, np, ne, {_overlap('pk', 'ek')}::BIGINT AS tp,
   CASE WHEN np = 0 AND ne = 0 THEN 1.0 WHEN np = 0 OR ne = 0 THEN 0.0 ELSE {_overlap('pc', 'ec')} / greatest(np, ne)::DOUBLE END AS cm FROM k)"""
-PRF = """SELECT {by} count(*) AS total_entries, sum(tp)::BIGINT AS tp, sum(np - tp)::BIGINT AS fp, sum(ne - tp)::BIGINT AS fn,
-  round(CASE WHEN sum(np) + sum(ne) = 0 THEN 1.0 ELSE coalesce(sum(tp) / nullif(sum(np), 0)::DOUBLE, 0) END, 4) AS precision,
-  round(CASE WHEN sum(np) + sum(ne) = 0 THEN 1.0 ELSE coalesce(sum(tp) / nullif(sum(ne), 0)::DOUBLE, 0) END, 4) AS recall,
-  round(CASE WHEN sum(np) + sum(ne) = 0 THEN 1.0 ELSE coalesce(2.0 * sum(tp) / nullif(sum(np) + sum(ne), 0)::DOUBLE, 0) END, 4) AS f1_score FROM c {group}"""
+PRF = "SELECT {by} count(*) AS total_entries, sum(tp)::BIGINT AS tp, sum(np - tp)::BIGINT AS fp, sum(ne - tp)::BIGINT AS fn, " + score_sql.prf() + " FROM c {group}"
+SCORES = score_sql.queries(COUNTS)
 ITEMS = "t AS (SELECT entry_id, unnest(targets) AS t FROM golden)"
 
 
@@ -80,12 +79,12 @@ def eval_counts(spark, d):
     return rows.select("pred_id", *(F.col(f"transaction_counts.{k}").cast("bigint").alias(k) for k in ("predicted", "expected", "true_positives", "false_positives", "false_negatives")))
 
 
-@query("WITH " + COUNTS + " " + PRF.format(by="", group=""))
+@query("WITH " + COUNTS + " " + PRF.replace("{by}", "").replace("{group}", ""))
 def eval_prf(spark, d):
     return _totals(_counted(spark, d))
 
 
-@query("WITH " + COUNTS + " " + PRF.format(by="model,", group="GROUP BY model"))
+@query("WITH " + COUNTS + " " + PRF.replace("{by}", "model,").replace("{group}", "GROUP BY model"))
 def eval_by_model(spark, d):
     return _totals(_counted(spark, d), "model")
 
@@ -100,20 +99,20 @@ def _entries(spark, d):
     return scoring.evaluate_entries(table(spark, d, "predictions"), _golden(spark, d).select("entry_id", "input", "targets"))
 
 
-@query()
+@query(SCORES["eval_entries"])
 def eval_entries(spark, d):
     """All scores of every prediction."""
     rows = _entries(spark, d)
     return rows.select("pred_id", "strict_json_score", F.round("entity_accuracy", 9).alias("entity_accuracy"), "category_match", F.size("error_breakdown").alias("pairs"))
 
 
-@query()
+@query(SCORES["eval_report"])
 def eval_report(spark, d):
     """Means, micro-averaged scores and error totals by model."""
     return scoring.report(_entries(spark, d), "model")
 
 
-@query()
+@query(SCORES["eval_error_rates"])
 def eval_error_rates(spark, d):
     """Errors of each field as a share of the expected targets."""
     r = scoring.report(_entries(spark, d))
@@ -121,11 +120,11 @@ def eval_error_rates(spark, d):
     return r.select("expected", F.inline(pairs)).withColumn("rate", F.try_divide("errors", "expected"))
 
 
-@query()
+@query(SCORES["eval_metric"])
 def eval_metric(spark, d):
     """Mean composite metric by model, and rows under 0.8."""
     rows = scoring.composite_metric(_entries(spark, d))
-    return rows.groupBy("model").agg(F.count("*").alias("n"), F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count_if(F.col("score") < 0.8).alias("failures"))
+    return rows.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("score", F.lit(0.0))), 9).alias("score"), F.count_if(F.col("score") < 0.8).alias("failures"))
 
 
 @query(
