@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talliflow.functions.text import dotted_thousands, strip
 from talliflow.operators.profile import USD_MARKERS
 
+#: Keys of an entry, of its targets and of its metadata.
 TOP_KEYS = ["input", "targets", "metadata", "conversation_date"]
 TARGET_KEYS = ["type", "amount", "currency", "category", "description", "date_delta_days", "date_raw_expression"]
 META_KEYS = ["source", "num_transactions"]
@@ -23,7 +24,7 @@ def amount_in_text(text: Column, amount: Column) -> Column:
     k = F.when(whole & (amount >= 1000) & (amount % 1000 == 0), (amount / 1000).try_cast("decimal(20,0)").cast("string"))
     bare = F.translate(text, "., ", "")
     low = F.translate(F.lower(text), "$ ", "")
-    two = F.format_string("%.2f", amount)
+    two = F.replace(F.format_number(amount, 2), F.lit(","))  # rounds the binary value
     dotted = dotted_thousands(amount)
     dotted = F.when(dotted.endswith(",00"), F.substring(dotted, F.lit(1), F.length(dotted) - 3)).otherwise(dotted)
     hits = [bare.contains(n), *(low.contains(F.concat(k, F.lit(s))) for s in ("mil", "k", "lucas", "palos")), text.contains(two)]

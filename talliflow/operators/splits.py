@@ -12,8 +12,6 @@ from talliflow.functions.udfs import dumps
 
 #: Rows of one bucket of a ranking, about, and hexadecimal digits of the digest that make the buckets, at most.
 BUCKET_ROWS, MAX_DIGITS = 100_000, 5
-#: Candidates that examples of :func:`few_shot_pool` are chosen from.
-POOL = 64
 
 
 def digest(seed: str, *ids: Column) -> Column:
@@ -86,22 +84,6 @@ def few_shot(rows: DataFrame, k: int, seed: str = "42") -> DataFrame:
     return found.groupBy("entry_id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("examples"))
 
 
-def few_shot_pool(rows: DataFrame, k: int, seed: str = "42") -> DataFrame:
-    """``entry_id, examples``: examples as :func:`few_shot` gives them, but out of ``POOL`` random entries only, which every task gets.
-    """
-    pool = sample(rows.where(F.size("targets") > 0).select("entry_id", "input"), "entry_id", POOL, seed)
-    pool = pool.agg(F.collect_list(F.struct("entry_id", "input")).alias("pool"))
-    each = rows.select("entry_id", F.lit(1).alias("_k")).join(F.broadcast(pool.withColumn("_k", F.lit(1))), "_k")
-    own = F.col("entry_id")
-    ranked = F.array_sort(
-        F.transform(
-            F.filter("pool", lambda p: p["entry_id"] != own),
-            lambda p: F.struct(digest(seed, own, p["entry_id"]).alias("d"), p["entry_id"].alias("example_id"), p["input"].alias("input")),
-        )
-    )
-    return each.select("entry_id", F.slice(ranked, 1, k).alias("examples"))
-
-
 def chat_record(system: str, message: Column, targets: Column) -> Column:
     """Three turns: system, user and the assistant's targets as JSON text. Null targets answer with an empty list."""
     turns = [("system", F.lit(system)), ("user", F.coalesce(message, F.lit(""))), ("assistant", F.coalesce(dumps(targets), F.lit("[]")))]

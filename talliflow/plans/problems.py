@@ -124,4 +124,27 @@ _P4 = f"""WITH l AS (SELECT line_id, line, regexp_full_match(line, '{_FIELD}(?:,
   SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT seven THEN 'column_count' ELSE 'value' END AS reason FROM v
   WHERE NOT quoted OR NOT seven OR NOT good OR NOT regexp_full_match(id, '[0-9]+') OR try_cast(id AS BIGINT) IS NULL OR NOT regexp_full_match(day, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
     OR try_cast(day AS DATE) IS NULL OR NOT regexp_full_match(lat, '|[0-9]+([.][0-9]+)?')"""
-SQL: dict[str, str] = {"p4_found": _P4, "p6_found": _P6}
+#: The fields of the lines that aren't rejected, as their types.
+_P4_LOADED = f"""WITH bad AS ({_P4}) SELECT line_id, {_content(1)}::BIGINT AS pred_id, {_content(2)} AS model, {_content(3)}::DATE AS conversation_date, {_content(4)} AS input,
+  {_content(5)} AS raw_response, nullif({_content(7)}, '')::DOUBLE AS latency_seconds, json_array_length(nullif({_content(6)}, ''))::INT AS n_targets
+  FROM prediction_lines WHERE line_id NOT IN (SELECT line_id FROM bad)"""
+_HEAD, _EVERY = _P6.split("SELECT report_id, entry_no, item_kind, parent_no::INT")[0], "SELECT *"
+
+
+def _state(kind: str) -> str:
+    here = [f"coalesce(json_type(node, '$.{k}'), 'NULL')" for k in nested.FIELDS[kind]]
+    lax = [f"coalesce(json_type(node, '$.{k}'), 'NULL') = 'VARCHAR'" for k, t in nested.FIELDS[kind].items() if t in ("int", "double")]
+    base = f"CASE WHEN {' AND '.join(f'{h} = {chr(39)}NULL{chr(39)}' for h in here)} THEN 'bare' WHEN {' OR '.join(lax) or 'false'} THEN 'lax' ELSE 'typed' END"
+    more = ""
+    if kind == "output":
+        has = f"len(list_filter({_list(_member('node', 'history'))}, lambda h: json_type(h) <> 'NULL')) > 0"
+        more = f" || CASE WHEN {has} THEN '+history' ELSE '' END"
+    return f"WHEN '{kind}' THEN CASE WHEN json_type(node) <> 'OBJECT' THEN 'scalar' ELSE {base}{more} END"
+
+
+_P6_VARIANTS = f"""{_HEAD} SELECT item_kind, CASE item_kind {' '.join(_state(k) for k in nested.FIELDS)} END AS variant, count(*) AS n FROM every WHERE json_type(node) <> 'NULL' GROUP BY 1, 2"""
+_P6_ENTRIES = f"""{_HEAD} SELECT report_id, entry_no::INT AS entry_no, CASE json_type(entry) WHEN 'OBJECT' THEN 'record' WHEN 'ARRAY' THEN 'list' WHEN 'BOOLEAN' THEN 'flag'
+    WHEN 'VARCHAR' THEN CASE WHEN try_cast(entry->>'$' AS DOUBLE) IS NULL THEN 'text' ELSE 'digits' END ELSE 'number' END AS shape,
+  try_cast(entry->>'$.pred_id' AS BIGINT) AS pred_id, entry->>'$.input' AS input, entry->>'$.raw_response' AS raw_response,
+  entry->>'$.conversation.conversation_date' AS conversation_date FROM x WHERE json_type(entry) <> 'NULL'"""
+SQL: dict[str, str] = {"p4_found": _P4, "p4_loaded": _P4_LOADED, "p6_found": _P6, "p6_variants": _P6_VARIANTS, "p6_entries": _P6_ENTRIES}

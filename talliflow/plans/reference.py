@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talliflow.functions.udfs import parse_response
 from talliflow.operators import balance, chat, generation, profile, quality, roundtrip, scoring, splits, synth, units
-from talliflow.plans import score_sql
+from talliflow.plans import score_sql, text_sql
 from talliflow.session import table
 from talliflow.streaming import pipelines
 
@@ -135,7 +135,7 @@ def latency_percentiles(spark, d):
     return scoring.latency_percentiles(table(spark, d, "predictions"), "model")
 
 
-@query()
+@query(text_sql.PARSE_OUTCOMES)
 def parse_outcomes(spark, d):
     """Answers by model that parse to targets, to an empty list or not at all."""
     rows = table(spark, d, "predictions").select("model", parse_response(F.col("raw_response")).alias("t"))
@@ -198,7 +198,7 @@ def type_percentages(spark, d):
     return profile.type_percentages(_golden(spark, d))
 
 
-@query()
+@query(text_sql.RECOMMENDATIONS.format(skew=profile.SKEW_PERCENT, cover=profile.COVERAGE_SHARE, multi=profile.MULTI_SHARE))
 def recommendations(spark, d):
     return profile.recommendations(_golden(spark, d), table(spark, d, "categories"))
 
@@ -408,7 +408,7 @@ def bot_replies(spark, d):
     return back.select("conv_id", "pos", *(F.col(f"r.{k}").alias(k) for k in ("type", "status", "description", "amount", "category")))
 
 
-@query()
+@query(text_sql.TEXT_QUALITY.replace("{usd}", "|".join(profile.USD_MARKERS)))
 def text_quality(spark, d):
     """Curated messages by reason of rejection and warning."""
     rows = _golden(spark, d).select("entry_id", quality.text_flags(F.col("input"), F.col("targets")).alias("q"))
@@ -467,17 +467,6 @@ def sample_entries(spark, d):
     return splits.sample(_golden(spark, d).select("entry_id"), "entry_id", 100)
 
 
-@query(
-    """WITH pool AS (SELECT entry_id AS e FROM golden WHERE len(targets) > 0 ORDER BY md5('42|' || entry_id::VARCHAR), entry_id LIMIT 64),
-  r AS (SELECT g.entry_id, e, row_number() OVER (PARTITION BY g.entry_id ORDER BY md5('42|' || g.entry_id::VARCHAR || '|' || e::VARCHAR), e) AS k
-    FROM golden g, pool WHERE e <> g.entry_id)
-  SELECT entry_id, e AS example_id, k::INT AS k FROM r WHERE k <= 3"""
-)
-def few_shot_examples(spark, d):
-    """Three examples for every entry, out of the 64 candidates of its SQL."""
-    return _numbered(splits.few_shot_pool(_golden(spark, d), 3))
-
-
 def _numbered(rows):
     return rows.select("entry_id", F.posexplode("examples").alias("p", "x")).select("entry_id", "x.example_id", (F.col("p") + 1).alias("k"))
 
@@ -498,7 +487,13 @@ def few_shot_all(spark, d):
     return _numbered(splits.few_shot(_golden(spark, d), 3))
 
 
-@query()
+@query(SQL["few_shot_all"])
+def few_shot_examples(spark, d):
+    """The same under its first name."""
+    return few_shot_all(spark, d)
+
+
+@query(text_sql.CHAT_RECORDS)
 def chat_records(spark, d):
     """Entries as chat-format records."""
     record = splits.chat_record("Extract the transactions.", F.col("input"), F.col("targets"))

@@ -34,7 +34,7 @@ _BARE = """regexp_replace(raw, '"(?:[^"\\\\]|\\\\.)*"', '', 'g')"""
 _KEYS = "len(list_filter(['type', 'amount', 'currency', 'category', 'description', 'date_delta_days', 'date_raw_expression'], lambda k: NOT json_exists({x}, '$.' || k))) = 0"
 _STRICT = f"""CASE WHEN raw = '' OR contains(raw, '```') OR NOT json_valid(raw) OR regexp_matches({_BARE}, ',\\s*[\\]}}]') THEN 0.0
   WHEN json_type(raw::JSON) = 'OBJECT' THEN ({_KEYS.format(x='raw::JSON')})::INT::DOUBLE
-  WHEN json_type(raw::JSON) = 'ARRAY' THEN (len(list_filter(CAST(raw::JSON AS JSON[]), lambda o: json_type(o) <> 'OBJECT' OR NOT {_KEYS.format(x='o')})) = 0)::INT::DOUBLE ELSE 0.0 END"""
+  WHEN json_type(raw::JSON) = 'ARRAY' THEN (len(list_filter(CAST(raw::JSON AS JSON[]), lambda o: coalesce(json_type(o), 'NULL') <> 'OBJECT' OR NOT {_KEYS.format(x='o')})) = 0)::INT::DOUBLE ELSE 0.0 END"""
 
 
 def entries(counts: str) -> str:
