@@ -15,7 +15,7 @@ SAMPLE_FRACTION = 0.2
 
 
 def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return sampling.matching_sample(table(spark, d, "golden"), table(spark, d, "sample_targets"), SAMPLE_FRACTION)
+    return sampling.matching_sample(table(spark, d, "golden"), table(spark, d, "sample_targets"), SAMPLE_FRACTION, refill=True)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

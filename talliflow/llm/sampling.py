@@ -14,6 +14,7 @@ import hashlib
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talliflow.functions.text import loose_key
@@ -53,22 +54,52 @@ def usable_targets(golden: DataFrame, wanted: DataFrame) -> DataFrame:
     return flat.join(keys, ["_t", "_c"]).drop("_t", "_c")
 
 
+def quotas(wanted: list[tuple[str, float, int]], counts: dict[str, int], size: float, refill: bool) -> list[float]:
+    """Rows that each category gives: its share of ``size``, or all it has.
+
+    With ``refill`` the others take what short categories leave, in proportion to their shares, less what floors take: the quotas are the shares times
+    one factor, within floors and what there is, and the factor, 1 at least, is bisected so that they add up to ``size``.
+    """
+    have = [counts.get(name, 0) for name, _, _ in wanted]
+
+    def at(factor: float) -> list[float]:
+        return [min(n, max(factor * share * size, min(floor or 0, n) if refill else 0)) for (_, share, floor), n in zip(wanted, have)]
+
+    if not refill:
+        return at(1.0)
+    low, high = 1.0, 2.0
+    most = min(size, sum(n for (_, share, _), n in zip(wanted, have) if share > 0))
+    while sum(at(high)) < most * (1 - 1e-12) and high < 1e300:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(at(mid)) < size else (low, mid)
+    return at(low)
+
+
 def draw(
-    rows: DataFrame, key: str, ids: list[str], wanted: list[tuple[str, float, int]], size: float, seed: int = 0, counts: dict[str, int] | None = None
+    rows: DataFrame,
+    key: str,
+    ids: list[str],
+    wanted: list[tuple[str, float, int]],
+    size: float,
+    seed: int = 0,
+    counts: dict[str, int] | None = None,
+    refill: bool = False,
 ) -> DataFrame:
     """The rows of the sample, with ``picked``: ``share`` or, for a repaired floor, ``floor``.
 
     ``wanted`` are the categories in their order with share and least number of rows; ``size`` is the size of the sample.
-    A category gets its share of ``size``, rounded up or down by the random start, or all its rows where it has fewer.
+    A category gets its quota (:func:`quotas`), rounded up or down by the random start, or all its rows where it has fewer.
     Rows of other categories are left out. ``ids`` order rows with the same hash; rows equal in all of them may
     take each other's place.
     """
     counts = category_counts(rows, key) if counts is None else counts
     u = random_start(seed)
     plan, base = [], 0.0
-    for name, share, floor in wanted:
+    for (name, _, floor), quota in zip(wanted, quotas(wanted, counts, size, refill)):
         n = counts.get(name, 0)
-        p = min(1.0, share * size / n) if n else 0.0
+        p = min(1.0, quota / n) if n else 0.0
         first = math.floor(base + u)
         got = math.floor(base + n * p + u) - first
         plan.append((name, base, p, first, max(0, min(floor or 0, n) - got)))
@@ -94,12 +125,14 @@ def category_counts(rows: DataFrame, key: str) -> dict[str, int]:
     return {r[0]: r["n"] for r in counted}
 
 
-def matching_sample(golden: DataFrame, targets: DataFrame, fraction: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def matching_sample(
+    golden: DataFrame, targets: DataFrame, fraction: float = 0.2, seed: int = 0, refill: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """The sample of usable targets and the report on its categories.
 
-    The sample has ``fraction`` of all usable targets. The report has, for each wanted key: ``target_key, share, min_rows,
-    available, wanted`` (share of the size), ``sampled`` and ``short``: fewer usable targets than ``wanted`` or than
-    ``min_rows``. Keys without targets are reported with zeros; an empty table gives an empty sample, in which
+    The sample has ``fraction`` of all usable targets, without ``refill`` less what short keys leave. The report has, for each wanted key: ``target_key,
+    share, min_rows, available, wanted`` (share of the size), ``quota``, ``sampled``, ``actual_share`` (null in an empty sample) and ``short``: fewer usable
+    targets than ``wanted`` or than ``min_rows``. Keys without targets are reported with zeros; an empty table gives an empty sample, in which
     only floors can be missed.
     """
     usable = usable_targets(golden, targets)
@@ -109,10 +142,12 @@ def matching_sample(golden: DataFrame, targets: DataFrame, fraction: float = 0.2
     wanted = [(r["target_key"], r["share"] or 0.0, r["min_rows"] or 0) for r in sorted(listed, key=lambda r: (r["ord"] is None, r["ord"], r["target_key"]))]
     counts = category_counts(usable, "target_key")
     size = fraction * sum(counts.values())
-    sample = draw(usable, "target_key", ["entry_id", "target_no"], wanted, size, seed, counts)
-    rows = [(k, s, m, counts.get(k, 0), s * size) for k, s, m in wanted]
-    report = golden.sparkSession.createDataFrame(rows, "target_key string, share double, min_rows int, available long, wanted double")
+    sample = draw(usable, "target_key", ["entry_id", "target_no"], wanted, size, seed, counts, refill)
+    rows = [(k, s, m, counts.get(k, 0), s * size, q) for (k, s, m), q in zip(wanted, map(float, quotas(wanted, counts, size, refill)))]
+    report = golden.sparkSession.createDataFrame(rows, "target_key string, share double, min_rows int, available long, wanted double, quota double")
     got = sample.groupBy("target_key").agg(F.count("*").alias("sampled"))
     report = report.join(got, "target_key", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+    # a row for each wanted key
+    report = report.withColumn("actual_share", F.try_divide("sampled", F.sum("sampled").over(W.partitionBy())))
     short = (F.col("available") < F.col("wanted")) | (F.col("available") < F.col("min_rows")) | (F.col("sampled") < F.floor("wanted"))
     return sample, report.withColumn("short", short)

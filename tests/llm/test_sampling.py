@@ -70,3 +70,25 @@ def test_edges(spark):
     assert sampling.matching_sample(g, w.where("false"))[1].count() == 0
     twice = sampling.matching_sample(g.union(g), w, 1.0)[0]
     assert twice.count() == 8
+
+
+def test_others_take_what_short_keys_leave(spark):
+    counts = {("A", "a"): 2000, ("A", "b"): 900, ("A", "c"): 40, ("A", "d"): 60}
+    g, w = tables(spark, counts, [("A:a", 0.3, 5), ("A:b", 0.2, 5), ("A:c", 0.49, 5), ("A:d", 0.01, 30), ("A:e", 0.0, 3)])
+    sample, report = sampling.matching_sample(g, w, 0.2, refill=True)
+    got = {r["target_key"]: r for r in report.collect()}
+    assert sample.count() == sum(r["sampled"] for r in got.values()) and abs(sample.count() - 600) <= 1
+    assert got["A:c"]["sampled"] == 40 and got["A:d"]["sampled"] == 30 and got["A:e"]["sampled"] == 0
+    assert abs(got["A:a"]["sampled"] - 530 * 0.6) < 1 and abs(got["A:b"]["sampled"] - 530 * 0.4) < 1
+    assert {k for k, r in got.items() if r["short"]} == {"A:c", "A:e"}
+    assert abs(sum(r["actual_share"] for r in got.values()) - 1) < 1e-9 and got["A:c"]["actual_share"] == 40 / sample.count()
+
+
+def test_quotas():
+    some = [("a", 0.5, 0), ("b", 0.5, 10)]
+    assert sampling.quotas(some, {"a": 100, "b": 100}, 50, True) == [25, 25] == sampling.quotas(some, {"a": 100, "b": 100}, 50, False)
+    # all that there is, where the size can't be met
+    assert sampling.quotas(some, {"a": 3, "b": 4}, 50, True) == [3, 4]
+    assert sampling.quotas(some, {}, 0, True) == [0, 0] and sampling.quotas([], {}, 5, True) == []
+    # floors never take from a served share
+    assert sampling.quotas([("a", 0.9, 0), ("b", 0.1, 30)], {"a": 100, "b": 100}, 50, True) == [45, 30]
