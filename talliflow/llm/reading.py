@@ -13,16 +13,19 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talliflow.session import spread
 
 #: Labelled documents that the models are fitted on, at most; they are drawn by a hash of their ids.
 MAX_LABELLED = 1_500
-#: Sentences of one labelled document that are used for the fit, at most, evenly spread; all are used for levelling.
-FIT_SENTENCES = 20
+#: Sentences of one labelled document that enter the fit, at most, evenly spread, and characters of one of them. They are cut out by the tasks, so
+#: what comes to the driver is bounded. All sentences of all documents are used, whole, for levelling.
+FIT_SENTENCES, FIT_CHARS = 20, 4_000
 #: Hashed features of each model.
 DIM = 1 << 15
 #: Strength of the penalty on squared weights, steps and step length of the fit.
@@ -35,21 +38,30 @@ CHUNK_CHARS = 2_000_000
 _HEADER = re.compile(r"^\s*\[\d[^\]\n]*\] [^:\n]{1,60}: ", re.M)
 _BREAK = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\s*[\r\n]+\s*")
 _BULLET = re.compile(r"^[\s*•\-–#>]+")
-_WORD = re.compile(r"[^\W\d_]+|\d+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text, without the headers of chat messages and bullets; none of a blank text."""
-    parts = (_BULLET.sub("", s) for s in _BREAK.split(_HEADER.sub("", text)))
+    parts = (s if s[:1].isalnum() else _BULLET.sub("", s) for s in _BREAK.split(_HEADER.sub("", text)))
     return [s for s in parts if any(c.isalnum() for c in s)]
 
 
+def fit_sentences(text: str | None) -> list[str]:
+    """The sentences of a labelled text that enter the fit."""
+    found = sentences(text or "")
+    if len(found) > FIT_SENTENCES:
+        found = [found[round(j * (len(found) - 1) / (FIT_SENTENCES - 1))] for j in range(FIT_SENTENCES)]
+    return [x[:FIT_CHARS] for x in found]
+
+
 def _hash(x: np.ndarray) -> np.ndarray:
-    x = (x.astype(np.uint64) + np.uint64(1)) * _MIX
+    x = (x.astype(np.uint64, copy=False) + np.uint64(1)) * _MIX
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((x >> np.uint64(32)) % np.uint64(DIM)).astype(np.int64)
+    x >>= np.uint64(32)
+    x &= np.uint64(DIM - 1)
+    return x.astype(np.int32)
 
 
 class Features(NamedTuple):
@@ -59,55 +71,121 @@ class Features(NamedTuple):
     bounds: np.ndarray
 
 
-def char_features(texts: list[str]) -> Features:
-    """Character 3- and 4-grams; digits are alike, case doesn't count."""
-    low = [f"  {t.lower()} " for t in texts]
-    cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    cp = np.where((cp >= 48) & (cp <= 57), np.uint64(48), cp)
-    n = np.fromiter((len(t) for t in low), np.int64, len(low))
-    ends = np.cumsum(n)
-    starts = ends - n
-    p1, p2, p3 = np.uint64(1 << 21), np.uint64(1 << 42), np.uint64(0x100000001B3)
-    three = cp[:-2] * p2 + cp[1:-1] * p1 + cp[2:] if len(cp) > 2 else cp[:0]
-    four = three[:-1] * p3 + cp[3:] if len(cp) > 3 else cp[:0]
-    k3, k4 = np.maximum(n - 2, 0), np.maximum(n - 3, 0)
-
-    def rows(k: np.ndarray) -> np.ndarray:
-        return np.arange(k.sum()) + np.repeat(starts - (np.cumsum(k) - k), k)
-
-    bounds = np.concatenate([[0], np.cumsum(k3 + k4)])
-    index = np.empty(bounds[-1], np.int64)
-    own = np.arange(len(index)) - np.repeat(bounds[:-1], k3 + k4)
-    first = own < np.repeat(k3, k3 + k4)
-    index[first] = _hash(three[rows(k3)])
-    index[~first] = _hash(four[rows(k4)])
-    return Features(index, bounds)
-
-
-_KNOWN: dict[str, int] = {}
-
-
-def word_features(texts: list[str]) -> Features:
-    """Words (numbers are alike), and how long the sentence and its words are, as classes."""
-    if len(_KNOWN) > 500_000:
-        _KNOWN.clear()
-    index: list[int] = []
-    bounds = [0]
-    for t in texts:
-        words = ["0" if w[0].isdigit() else w for w in _WORD.findall(t.lower())]
-        mean = sum(map(len, words)) / max(1, len(words))
-        size = [f"#n{min(len(words) // 3, 20)}", f"#l{min(int(mean * 2), 30)}"]
-        # the lengths weigh as much as a quarter of the words
-        for w in words + size * (1 + len(words) // 8):
-            h = _KNOWN.get(w)
-            if h is None:
-                x = 1469598103934665603
-                for b in w.encode("utf-8", "surrogatepass"):
-                    x = (x ^ b) * 1099511628211 % 2**64
-                h = _KNOWN[w] = int(_hash(np.array([x], np.uint64))[0])
-            index.append(h)
-        bounds.append(len(index))
-    return Features(np.array(index, np.int64), np.array(bounds, np.int64))
+class Codes(NamedTuple):
+    """Code points of texts in a row, each in lower case with two blanks before and one behind, and where each ends."""
+
+    points: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Codes:
+        low = [f"  {t.lower()} " for t in texts]
+        points = np.frombuffer(("".join(low) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        return cls(points, np.cumsum(np.fromiter((len(t) for t in low), np.int64, len(low))))
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1]])
+
+
+def _grams(codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character 3- and 4-grams at every place; digits are alike. The last places of a text reach into the next one and stand for fewer grams."""
+    cp = codes.points.astype(np.uint64)
+    cp[(cp >= 48) & (cp <= 57)] = 48
+    three = (cp[:-3] << np.uint64(42)) + (cp[1:-2] << np.uint64(21)) + cp[2:-1]
+    four = three * np.uint64(0x100000001B3)
+    four += cp[3:]
+    return _hash(three), _hash(four)
+
+
+def char_features(codes: Codes) -> Features:
+    """Character 3- and 4-grams of each text."""
+    (three, four), ends = _grams(codes), codes.ends
+    keep3, keep4 = np.ones(len(three), bool), np.ones(len(four), bool)
+    for k in (1, 2):
+        keep3[ends - k] = False
+    for k in (1, 2, 3):
+        keep4[ends - k] = False
+    owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+    return _features(np.concatenate([three[keep3], four[keep4]]), np.concatenate([owner[keep3], owner[keep4]]), len(ends))
+
+
+def char_means(weights: np.ndarray, codes: Codes) -> np.ndarray:
+    """Mean weights of each text's grams, a column per class: what :func:`_means` gives of :func:`char_features`, without sorting them."""
+    (three, four), ends, starts = _grams(codes), codes.ends, codes.starts
+    n = np.maximum(2 * (ends - starts) - 5, 1)
+    out = np.empty((len(ends), weights.shape[1]))
+    for c, w in enumerate(weights.T):
+        both, last = w[three], w[four]
+        for k in (1, 2, 3):
+            last[ends - k] = 0.0
+        for k in (1, 2):
+            both[ends - k] = 0.0
+        both += last
+        out[:, c] = np.add.reduceat(both, starts) / n
+    return out
+
+
+_CLASSES: np.ndarray | None = None
+
+
+def _classes() -> np.ndarray:
+    """For each code point 1 if it is part of a word, 2 if it is a digit, else 0."""
+    global _CLASSES
+    if _CLASSES is None:
+        _CLASSES = np.array([2 if c.isdecimal() else 1 if c.isalnum() else 0 for c in map(chr, range(0x110000))], np.uint8)
+    return _CLASSES
+
+
+def _words(codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed words and their texts; then of each text two classes, of its number of words and their mean length, and how often these count.
+
+    Numbers are words that are alike. The lengths weigh as much as a quarter of the words.
+    """
+    kind = _classes()[codes.points]
+    new = np.flatnonzero((kind > 0) & (kind != np.concatenate([[0], kind[:-1]])))
+    n_texts = len(codes.ends)
+    if not len(new):
+        none = np.zeros(0, np.int32)
+        index, owner, size = none, none, none
+    else:
+        # a polynomial in the code points; characters between words have no part in it
+        start = np.repeat(new, np.diff(new, append=len(kind)))
+        powers = np.full(int(np.diff(new, append=len(kind)).max()) + 1, 0x100000001B3, np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        own = kind[new[0] :] > 0
+        terms = np.where(own, (codes.points[new[0] :].astype(np.uint64) + np.uint64(7)) * powers[np.arange(new[0], len(kind)) - start], np.uint64(0))
+        digits = kind[new] == 2
+        index = _hash(np.where(digits, np.uint64(0), np.add.reduceat(terms, new - new[0])))
+        size = np.where(digits, 1, np.add.reduceat(own.astype(np.int32), new - new[0]))
+        owner = np.searchsorted(codes.ends, new, "right").astype(np.int32)
+    n = np.bincount(owner, minlength=n_texts)
+    mean = np.bincount(owner, size, n_texts) / np.maximum(n, 1)
+    long = _hash(np.uint64(1 << 60) + np.minimum(n // 3, 20).astype(np.uint64))
+    wide = _hash(np.uint64(2 << 60) + np.minimum((mean * 2).astype(np.int64), 30).astype(np.uint64))
+    return index, owner, long, wide, 1 + n // 8
+
+
+def word_features(codes: Codes) -> Features:
+    """Words of each text and, as classes, how many they are and how long."""
+    index, owner, long, wide, times = _words(codes)
+    each = np.repeat(np.arange(len(times), dtype=np.int32), times)
+    return _features(np.concatenate([index, long[each], wide[each]]), np.concatenate([owner, each, each]), len(times))
+
+
+def word_means(weights: np.ndarray, codes: Codes) -> np.ndarray:
+    """What :func:`_means` gives of :func:`word_features`."""
+    index, owner, long, wide, times = _words(codes)
+    n = np.bincount(owner, minlength=len(times)) + 2 * times
+    out = np.empty((len(times), weights.shape[1]))
+    for c, w in enumerate(weights.T):
+        out[:, c] = (np.bincount(owner, w[index], len(times)) + times * (w[long] + w[wide])) / n
+    return out
+
+
+def _features(index: np.ndarray, owner: np.ndarray, n: int) -> Features:
+    return Features(index[np.argsort(owner, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]))
 
 
 def _means(weights: np.ndarray, f: Features) -> np.ndarray:
@@ -129,9 +207,6 @@ class Model(NamedTuple):
     weights: np.ndarray
     bias: np.ndarray
 
-    def probabilities(self, f: Features) -> np.ndarray:
-        return _softmax(_means(self.weights, f) + self.bias)
-
 
 def fit(f: Features, wanted: np.ndarray, weight: np.ndarray) -> Model:
     """Multinomial model of distributions ``wanted``, by Adam on the whole sample."""
@@ -139,11 +214,13 @@ def fit(f: Features, wanted: np.ndarray, weight: np.ndarray) -> Model:
     row = np.repeat(np.arange(len(n)), np.diff(f.bounds))
     share = (weight / weight.sum() / n)[row]
     classes = wanted.shape[1]
+    index, starts = f.index.astype(np.intp), f.bounds[:-1]  # every text has features
     w, b = np.zeros((DIM, classes)), np.log(np.maximum((wanted * weight[:, None]).sum(0) / weight.sum(), 1e-3))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1):
-        error = _softmax(_means(w, f) + b) - wanted
-        g = np.stack([np.bincount(f.index, error[row, c] * share, DIM) for c in range(classes)], 1) + PENALTY * w
+        means = np.stack([np.add.reduceat(np.ascontiguousarray(w[:, c])[index], starts) for c in range(classes)], 1) / n[:, None]
+        error = _softmax(means + b) - wanted
+        g = np.stack([np.bincount(index, error[row, c] * share, DIM) for c in range(classes)], 1) + PENALTY * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Model(w, b)
@@ -158,8 +235,8 @@ class Leveller(NamedTuple):
     slope: np.ndarray
     shift: np.ndarray
 
-    def document_means(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean sentence distribution of each text, by words of the sentences, and the number of sentences."""
+    def document_means(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean sentence distribution of each text, given by its sentences, and the number of sentences."""
         means = np.zeros((len(texts), len(self.levels)))
         counts = np.zeros(len(texts), np.int64)
         chunk: list[str] = []
@@ -168,14 +245,15 @@ class Leveller(NamedTuple):
 
         def flush() -> None:
             if chunk:
-                p = (self.chars.probabilities(char_features(chunk)) + self.words.probabilities(word_features(chunk))) / 2
+                codes = Codes.of(chunk)
+                p = (_softmax(char_means(self.chars.weights, codes) + self.chars.bias) + _softmax(word_means(self.words.weights, codes) + self.words.bias)) / 2
                 np.add.at(means, owner, p)
                 np.add.at(counts, owner, 1)
                 chunk.clear()
                 owner.clear()
 
         for i, t in enumerate(texts):
-            for s in sentences(t) if t else []:
+            for s in t:
                 chunk.append(s)
                 owner.append(i)
                 size += len(s)
@@ -201,21 +279,15 @@ def calibrate(means: np.ndarray, wanted: np.ndarray, steps: int = 400) -> tuple[
     return slope, shift
 
 
-def train(texts: list[str], labels: list[dict[int, float]]) -> Leveller | None:
-    """Models from labelled texts; ``labels`` are shares of raters by level. None if no text has a sentence.
+def train(texts: list[list[str]], labels: list[dict[int, float]]) -> Leveller | None:
+    """Models from labelled texts, given by sentences; ``labels`` are shares of raters by level. None if no text has a sentence.
 
     Models are fitted on either half of the documents; each half calibrates the models of the other, so the calibration sees documents as
     new as all others are. The final models are the mean of both halves'.
     """
     levels = sorted({k for x in labels for k in x})
-    found: list[str] = []
-    of: list[int] = []
-    for i, t in enumerate(texts):
-        ss = sentences(t or "")
-        if len(ss) > FIT_SENTENCES:
-            ss = [ss[round(j * (len(ss) - 1) / (FIT_SENTENCES - 1))] for j in range(FIT_SENTENCES)]
-        found += ss
-        of += [i] * len(ss)
+    found = [s for t in texts for s in t]
+    of = [i for i, t in enumerate(texts) for _ in t]
     if not found:
         return None
     target = np.array([[x.get(k, 0.0) for k in levels] for x in labels])
@@ -223,7 +295,7 @@ def train(texts: list[str], labels: list[dict[int, float]]) -> Leveller | None:
     weight = 1 / np.sqrt(np.bincount(owner, minlength=len(texts)))[owner]
 
     def models(rows: np.ndarray) -> tuple[Model, Model]:
-        part = [found[i] for i in np.flatnonzero(rows)]
+        part = Codes.of([found[i] for i in np.flatnonzero(rows)])
         return fit(char_features(part), target[owner[rows]], weight[rows]), fit(word_features(part), target[owner[rows]], weight[rows])
 
     half = owner % 2 == 0
@@ -241,17 +313,25 @@ def train(texts: list[str], labels: list[dict[int, float]]) -> Leveller | None:
     slope, shift = calibrate(means[keep], target[keep]) if keep.sum() >= CALIBRATE_FROM else (np.eye(k), np.zeros(k))
     # the mean of linear models has the mean of their weights
     chars, words = (Model(np.mean([m.weights for m in ms], 0), np.mean([m.bias for m in ms], 0)) for ms in zip(*pairs))
+    chars = Model(chars.weights.astype(np.float32), chars.bias)
     return Leveller(levels, chars, words, slope, shift)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[list[str], list[dict[int, float]]]:
-    """Texts and rater shares of at most ``most`` labelled documents."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fit_sentences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(fit_sentences)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[list[list[str]], list[dict[int, float]]]:
+    """Sentences and rater shares of at most ``most`` labelled documents."""
     shares = labels.where("doc_id is not null and reading_level is not null").groupBy("doc_id", "reading_level").agg(F.count("*").alias("k"))
     by_doc = shares.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("reading_level", "k"))).alias("raters"))
     chosen = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").collect()
+    rows = documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id")
+    rows = rows.select("doc_id", "raters", _fit_sentences("text").alias("sentences")).limit(2 * most).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in rows], [{a: n / sum(r["raters"].values()) for a, n in r["raters"].items()} for r in rows]
+    return [r["sentences"] for r in rows], [{a: n / sum(r["raters"].values()) for a, n in r["raters"].items()} for r in rows]
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
@@ -270,7 +350,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most: int = MAX_LABE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            means, n = leveller.document_means(batch.column(1).to_pylist())
+            means, n = leveller.document_means([sentences(t) if t else [] for t in batch.column(1).to_pylist()])
             p = leveller.calibrated(means)
             none = n == 0
             level = pa.array(scale[p.argmax(1)].astype(np.int32), mask=none)

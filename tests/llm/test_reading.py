@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from talliflow.llm import reading
@@ -46,3 +47,22 @@ def test_edges(tables):
 def test_sentences():
     assert reading.sentences("[01/02/25, 10:00:00] Ana: Hola. ¿Qué tal?\r\n\n- uno\n* dos 1.500,50 pesos!") == ["Hola.", "¿Qué tal?", "uno", "dos 1.500,50 pesos!"]
     assert reading.sentences("") == [] and reading.sentences("...") == []
+
+
+def test_means_are_those_of_the_features():
+    texts = ["Hola mundo, gasté 1.500 pesos", "a", "", "x", "12", "ñandú_y 7b ½ İstanbul", "  ", "字 word" * 50]
+    codes = reading.Codes.of(texts)
+    w = np.random.default_rng(0).random((reading.DIM, 3))
+    assert np.allclose(reading.char_means(w, codes), reading._means(w, reading.char_features(codes)))
+    assert np.allclose(reading.word_means(w, codes), reading._means(w, reading.word_features(codes)))
+    f = reading.word_features(reading.Codes.of(["uno dos 7 uno", "dos 99"]))
+    one, two = f.index[f.bounds[0] : f.bounds[1]].tolist(), f.index[f.bounds[1] : f.bounds[2]].tolist()
+    # words are told apart, numbers are alike
+    assert one[0] == one[3] != one[1] and one[1] == two[0] and one[2] == two[1]
+
+
+def test_what_comes_to_the_driver_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "Una frase corta. " * 500), (2, "sinfin" * 100_000), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, "r"), (2, 3, "r"), (3, 2, "r")], "doc_id long, reading_level int, rater string")
+    texts, _ = reading.labelled_sample(docs, labels)
+    assert [len(t) for t in texts] == [reading.FIT_SENTENCES, 1] and len(texts[1][0]) == reading.FIT_CHARS
