@@ -17,6 +17,10 @@ DATES = [
     (-7, "hace una semana", 0.08), (-10, "hace 10 dias", 0.04), (-14, "hace dos semanas", 0.05), (-30, "el mes pasado", 0.04),
     (None, "natural", 0.03), (None, "short", 0.02), (None, "long", 0.03),
 ]
+#: Weights of the dates in their order, and expense categories with their weight, where intents are targeted; lengths of messages.
+TARGETED_DATES = [0.0, 0.0, 0.20, 0.12, 0.10, 0.08, 0.15, 0.08, 0.10, 0.05, 0.05, 0.03, 0.04]
+BOOSTED, BOOST = ("Hogar_Mascotas", "Deporte_Fitness"), 5
+LENGTHS = [("SHORT", 0.70), ("MEDIUM", 0.20), ("LONG", 0.10)]
 MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 
 
@@ -38,15 +42,19 @@ def choose(u: Column, options: list[tuple]) -> Column:
     return out.otherwise(value[0] if len(value) == 1 else F.struct(*(F.lit(x) for x in value)))
 
 
-def intents(ids: DataFrame, id_col: str, categories: DataFrame, anchor: str, targeted: bool = False) -> DataFrame:
-    """``id, item, tone, type, amount, currency, category, date_delta_days, date_raw_expression``: one to three intents per row of ``ids``.
+def intents(
+    ids: DataFrame, id_col: str, categories: DataFrame, anchor: str, targeted: bool = False, boosted: tuple[str, ...] = BOOSTED
+) -> DataFrame:
+    """``id, item, tone, length, type, amount, currency, category, date_delta_days, date_raw_expression``: one to three intents per row of ``ids``.
 
     Absolute dates lie 1 to 90 days before ``anchor``. Categories are chosen evenly among those of the type; their list is a small dimension.
+    ``targeted`` intents are mostly expenses, never of today, and ``boosted`` expense categories come ``BOOST`` times as often as others.
     """
     i = F.col(id_col)
     tone = choose(uniform("tone", i), TONES)
     n = F.when(uniform("multi", i) < MULTI_SHARE, F.when(uniform("items", i) < 0.5, 2).otherwise(3)).otherwise(1)
-    rows = ids.select(i.alias("id"), tone.alias("tone"), F.explode(F.sequence(F.lit(1), n)).alias("item"))
+    length = choose(uniform("length", i), LENGTHS)
+    rows = ids.select(i.alias("id"), tone.alias("tone"), length.alias("length"), F.explode(F.sequence(F.lit(1), n)).alias("item"))
     key = (F.col("id"), F.col("item"))
     rows = rows.withColumn("type", F.when(uniform("type", *key) < EXPENSE_SHARE[targeted], "EXPENSE").otherwise("INCOME"))
     band = choose(uniform("band", *key), [(float(a), float(b), w) for a, b, w in BANDS])
@@ -57,10 +65,14 @@ def intents(ids: DataFrame, id_col: str, categories: DataFrame, anchor: str, tar
     rows = rows.withColumn("amount", F.when(whole, F.floor(raw).cast("double")).otherwise(raw))
     rows = rows.withColumn("currency", F.when(uniform("currency", *key) < ARS_SHARE, "ARS").otherwise("USD"))
     lists = categories.groupBy(F.upper("kind").alias("type")).agg(F.array_sort(F.collect_set("name")).alias("names"))
+    if targeted and boosted:
+        repeated = F.transform("names", lambda x: F.array_repeat(x, F.when(x.isin(*boosted) & (F.col("type") == "EXPENSE"), BOOST).otherwise(1)))
+        lists = lists.withColumn("names", F.flatten(repeated))
     rows = rows.join(F.broadcast(lists), "type", "left")
     pick = F.floor(uniform("category", *key) * F.size("names")).cast("int")
     rows = rows.withColumn("category", F.get("names", pick))
-    date = choose(uniform("date", *key), DATES).cast("struct<delta:int,expr:string>")
+    dates = [(*x[:-1], w) for x, w in zip(DATES, TARGETED_DATES)] if targeted else DATES
+    date = choose(uniform("date", *key), dates).cast("struct<delta:int,expr:string>")
     day = F.date_sub(F.to_date(F.lit(anchor)), (F.floor(uniform("day", *key) * 90) + 1).cast("int"))
     month = F.element_at(F.array(*(F.lit(m) for m in MONTHS)), F.month(day))
     rows = rows.withColumn("_d", date)
@@ -71,5 +83,5 @@ def intents(ids: DataFrame, id_col: str, categories: DataFrame, anchor: str, tar
         .otherwise(F.concat(F.lit("el "), F.day(day).cast("string"), F.lit(" de "), month))
     )
     return rows.select(
-        "id", "item", "tone", "type", "amount", "currency", "category", F.col("_d.delta").alias("date_delta_days"), expr.alias("date_raw_expression")
+        "id", "item", "tone", "length", "type", "amount", "currency", "category", F.col("_d.delta").alias("date_delta_days"), expr.alias("date_raw_expression")
     )

@@ -506,6 +506,16 @@ def random_intents(spark, d):
     return synth.intents(_golden(spark, d).select("entry_id"), "entry_id", table(spark, d, "categories"), "2026-01-31")
 
 
+@query()
+def targeted_intents(spark, d):
+    """Random intents for what the corpus lacks, as many as curated entries; the scarcest two expense categories are boosted."""
+    golden, categories = _golden(spark, d), table(spark, d, "categories")
+    names = categories.where("kind = 'expense'").select(F.col("name").alias("category")).distinct()
+    counts = names.join(profile.category_counts(golden).groupBy("category").agg(F.sum("n").alias("n")), "category", "left")
+    few = [r["category"] for r in counts.orderBy(F.coalesce("n", F.lit(0)), "category").limit(2).collect()]
+    return synth.intents(golden.select("entry_id"), "entry_id", categories, "2026-01-31", targeted=True, boosted=tuple(few))
+
+
 @query()
 def forward_yield(spark, d):
     """Yield by tone of messages made from as many random intents as there are curated entries."""

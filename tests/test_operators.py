@@ -363,3 +363,17 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("  Á - b\t", "1.234,50", "```json\n[]\n```"), (None, "x", "a")], "a string, n string, f string")
     r = df.select(text.loose_key(df.a), text.latin_number(df.n), text.unfence(df.f), text.plain(df.a), text.blank(df.a)).collect()
     assert tuple(r[0])[:3] == ("á_b", 1234.5, "[]") and tuple(r[1]) == (None, None, "a", None, True)
+
+
+def test_targeted_intents(spark):
+    cats = spark.createDataFrame([("expense", "A"), ("expense", "B"), ("expense", "C"), ("income", "A"), ("income", "D")], "kind string, name string")
+    ids = spark.range(4000)
+    rows = synth.intents(ids, "id", cats, "2026-01-31", targeted=True, boosted=("A",)).collect()
+    expenses = [r for r in rows if r["type"] == "EXPENSE"]
+    assert abs(len(expenses) / len(rows) - 0.9) < 0.03
+    assert abs(sum(r["category"] == "A" for r in expenses) / len(expenses) - 5 / 7) < 0.03
+    incomes = [r for r in rows if r["type"] == "INCOME"]
+    assert abs(sum(r["category"] == "A" for r in incomes) / len(incomes) - 1 / 2) < 0.08
+    assert all(r["date_delta_days"] != 0 for r in rows) and abs(sum(r["date_delta_days"] == -1 for r in rows) / len(rows) - 0.2) < 0.03
+    first = {r["id"]: r["length"] for r in rows}
+    assert abs(sum(x == "SHORT" for x in first.values()) / len(first) - 0.7) < 0.03 and abs(sum(x == "LONG" for x in first.values()) / len(first) - 0.1) < 0.03
