@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talliflow.session import shared_path
+
 #: Bounds of the recommendations.
 SKEW_PERCENT, COVERAGE_SHARE, MULTI_SHARE = 70, 0.5, 0.2
 #: Words that tell a message speaks of dollars.
@@ -47,13 +51,38 @@ def targets_per_entry(golden: DataFrame) -> DataFrame:
 
 #: Half the width, in parts of all rows, of the interval that is searched for an exact median.
 MEDIAN_MARGIN = 1e-3
+#: Distinct values of a group that are put in order by one task, at most; ranges that a longer interval is cut into, and passes that do so.
+MEDIAN_ROWS, MEDIAN_RANGES, MEDIAN_PASSES = 1_000_000, 1024, 20
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = shared_path(df.sparkSession, f"values-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _narrowed(counts: DataFrame) -> DataFrame:
+    """Of values (_v, null for all below) with counts (_k) those of the range that the median lies in; what is below becomes one item."""
+    ends = counts.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_m")).withColumnRenamed("_g", "_s")
+    part = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+    rows = counts.join(ends, F.col("_g").eqNullSafe(F.col("_s")))
+    rows = rows.withColumn("_r", F.when(F.col("_m") > MEDIAN_ROWS, F.least(F.floor(part * MEDIAN_RANGES), F.lit(MEDIAN_RANGES - 1))).otherwise(F.lit(0)))
+    rows = rows.withColumn("_r", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.coalesce("_r", F.lit(0)))).drop("_s", "_lo", "_hi", "_m")
+    ranges = rows.groupBy("_g", "_n", "_r").agg(F.sum("_k").alias("_t"))
+    # MEDIAN_RANGES + 1 rows a group
+    upto = W.partitionBy("_g").orderBy("_r").rowsBetween(W.unboundedPreceding, 0)
+    hit = ranges.withColumn("_c", F.sum("_t").over(upto)).where(F.col("_c") > F.floor(F.col("_n") / 2))
+    hit = hit.groupBy("_g").agg(F.min("_r").alias("_at")).withColumnRenamed("_g", "_s")
+    rows = rows.join(hit, F.col("_g").eqNullSafe(F.col("_s"))).where(F.col("_r") <= F.col("_at"))
+    low = F.when(F.col("_r") == F.col("_at"), F.col("_v"))
+    return rows.groupBy("_g", "_n", low.alias("_v")).agg(F.sum("_k").alias("_k"))
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     """``by, upper_median``: the larger of the middle two values for an even number, the middle one else. Null groups count, null values don't.
 
-    Approximate quantiles bracket the median; the values below are counted and only those inside are put in order, so no
-    task holds a group's values.
+    Approximate quantiles bracket the median; the values below are counted and only those inside are put in order. While a bracket has more than
+    ``MEDIAN_ROWS`` distinct values it is cut into ranges, of which the counts tell the one to go on with, so no task holds a group's values.
     """
     rows = rows.select(F.col(by).alias("_g"), F.col(value).alias("_v")).where("_v is not null")
     # the sketch errs by 1e-4 of the rows at most, a tenth of the margin
@@ -64,6 +93,11 @@ def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     # all values below the bracket are one item, so the window has the bracket's distinct values only
     low = F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v"))
     counts = placed.groupBy("_g", "_n", low.alias("_v")).agg(F.count("*").alias("_k"))
+    counts = _written(counts)
+    for _ in range(MEDIAN_PASSES):
+        if counts.groupBy("_g").agg(F.count("*").alias("k")).where(F.col("k") > MEDIAN_ROWS).isEmpty():
+            break
+        counts = _written(_narrowed(counts))
     upto = W.partitionBy("_g").orderBy(F.asc_nulls_first("_v")).rowsBetween(W.unboundedPreceding, 0)
     hits = counts.withColumn("_c", F.sum("_k").over(upto)).where(F.col("_c") > F.floor(F.col("_n") / 2))
     return hits.groupBy(F.col("_g").alias(by)).agg(F.min("_v").alias("upper_median"))

@@ -3,6 +3,7 @@
 import datetime
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -377,3 +378,15 @@ def test_targeted_intents(spark):
     assert all(r["date_delta_days"] != 0 for r in rows) and abs(sum(r["date_delta_days"] == -1 for r in rows) / len(rows) - 0.2) < 0.03
     first = {r["id"]: r["length"] for r in rows}
     assert abs(sum(x == "SHORT" for x in first.values()) / len(first) - 0.7) < 0.03 and abs(sum(x == "LONG" for x in first.values()) / len(first) - 0.1) < 0.03
+
+
+def test_upper_median_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(profile, "MEDIAN_ROWS", 5)
+    monkeypatch.setattr(profile, "MEDIAN_RANGES", 4)
+    monkeypatch.setattr(profile, "MEDIAN_MARGIN", 0.4)
+    rng = random.Random(3)
+    groups = {"even": [float(i) for i in range(1000)], "odd": [rng.random() for _ in range(777)], "ties": [1.0] * 500 + [2.0] * 500, "one": [7.0]}
+    groups |= {"skew": [10.0 ** rng.randint(-300, 300) * rng.choice([1, -1]) for _ in range(900)], None: [rng.gauss(0, 1) for _ in range(901)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("even", None)]
+    got = {r["g"]: r["upper_median"] for r in profile.upper_median(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got == {g: sorted(vs)[len(vs) // 2] for g, vs in groups.items()}
