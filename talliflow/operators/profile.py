@@ -185,7 +185,7 @@ def corpus_profile(golden: DataFrame) -> DataFrame:
 
 
 def features(golden: DataFrame) -> DataFrame:
-    """One row: targets in dollars, targets with a date that isn't today's, entries without and with several targets."""
+    """One row: targets in dollars, targets with a date that isn't today's, entries without, with one and with several targets."""
     def count(cs: Column, cond) -> Column:
         return F.coalesce(F.sum(F.size(F.filter(cs, cond))), F.lit(0))
 
@@ -194,6 +194,7 @@ def features(golden: DataFrame) -> DataFrame:
     return golden.agg(
         count(F.col("targets.currency"), lambda c: F.upper(F.trim(F.coalesce(c, F.lit("")))) == "USD").alias("usd"),
         F.count_if(n == 0).alias("non_transactional"),
+        F.count_if(n == 1).alias("single_transaction"),
         F.count_if(n > 1).alias("multi_transaction"),
         count(dates, lambda t: (F.coalesce(t["d"], F.lit(0)) != 0) | t["x"].isNotNull()).alias("dated"),
     )

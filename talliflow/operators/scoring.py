@@ -254,12 +254,17 @@ def report(entries: DataFrame, *by: str) -> DataFrame:
     return totals.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def cleaned_strict(parsed: Column) -> Column:
+    """The strict score of parsed targets that are written as JSON again: 0 if there are none or one is null, else 1, as typed targets have all keys."""
+    return F.when(parsed.isNotNull() & ~F.exists(parsed, lambda t: t.isNull()), 1.0).otherwise(0.0)
+
+
 def composite_metric(entries: DataFrame) -> DataFrame:
-    """``entries`` with ``score``: half the entry's own F1, rounded, and half its entity accuracy; 0 for an empty answer where something was expected."""
+    """``entries`` with ``score``: half the entry's own F1, rounded, and half its entity accuracy; 0 for an empty answer and for one that wasn't understood."""
     t = F.col("transaction_counts")
     f1 = prf(t["true_positives"], t["false_positives"], t["false_negatives"])[2]
     blank = F.coalesce(strip(F.col("raw_response")), F.lit("")) == ""
-    return entries.withColumn("score", F.when(blank, 0.0).otherwise(F1_WEIGHT * f1 + ENTITY_WEIGHT * F.col("entity_accuracy")))
+    return entries.withColumn("score", F.when(blank | (cleaned_strict(F.col("parsed_targets")) == 0), 0.0).otherwise(F1_WEIGHT * f1 + ENTITY_WEIGHT * F.col("entity_accuracy")))
 
 
 def latency_percentiles(predictions: DataFrame, *by: str) -> DataFrame:

@@ -222,7 +222,7 @@ def corpus_profile(spark, d):
 
 @query(
     """SELECT sum(len(list_filter(targets, lambda t: upper(trim(coalesce(t.currency, ''))) = 'USD')))::BIGINT AS usd,
-  count(*) FILTER (coalesce(len(targets), 0) = 0) AS non_transactional, count(*) FILTER (len(targets) > 1) AS multi_transaction,
+  count(*) FILTER (coalesce(len(targets), 0) = 0) AS non_transactional, count(*) FILTER (len(targets) = 1) AS single_transaction, count(*) FILTER (len(targets) > 1) AS multi_transaction,
   sum(len(list_filter(targets, lambda t: coalesce(t.date_delta_days, 0) <> 0 OR t.date_raw_expression IS NOT NULL)))::BIGINT AS dated FROM golden"""
 )
 def features(spark, d):

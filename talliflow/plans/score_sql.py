@@ -54,8 +54,8 @@ def entries(counts: str) -> str:
     FROM pr LEFT JOIN ratio ON pr.a = ratio.a AND pr.b = ratio.b),
   sc AS (SELECT pred_id, i, list({{'s': ({scores} + 0.2 * {exact('0.7 * dd + 0.3 * ee')})::DOUBLE, 'f': [{flags}, (dd < 1)::INT, (ee < 1)::INT]}} ORDER BY j) AS line FROM ex GROUP BY pred_id, i),
   mx AS (SELECT pred_id, list(line ORDER BY i) AS mx FROM sc GROUP BY pred_id),
-  st AS (SELECT pred_id AS id, latency_seconds, regexp_replace(coalesce(raw_response, ''), '^\\s+|\\s+$', '', 'g') AS raw FROM predictions),
-  s AS (SELECT c.*, latency_seconds, raw, {_STRICT} AS strict, CASE WHEN np = 0 AND ne = 0 THEN 1.0 WHEN np = 0 OR ne = 0 THEN 0.0 ELSE {_walk('0.0')}.total / greatest(np, ne) END::DOUBLE AS acc,
+  st AS (SELECT pred_id AS id, latency_seconds, coalesce(len(list_filter(parsed_targets, lambda t: t IS NULL)) = 0, false) AS clean, regexp_replace(coalesce(raw_response, ''), '^\\s+|\\s+$', '', 'g') AS raw FROM predictions),
+  s AS (SELECT c.*, latency_seconds, clean, raw, {_STRICT} AS strict, CASE WHEN np = 0 AND ne = 0 THEN 1.0 WHEN np = 0 OR ne = 0 THEN 0.0 ELSE {_walk('0.0')}.total / greatest(np, ne) END::DOUBLE AS acc,
       coalesce({_walk('-1.0')}.errs, [0, 0, 0, 0, 0, 0]) AS errs, least(np, ne) AS pairs FROM c JOIN st ON c.pred_id = st.id LEFT JOIN mx ON mx.pred_id = c.pred_id)"""
 
 
@@ -80,6 +80,6 @@ def queries(counts: str) -> dict[str, str]:
           count(*) FILTER (strict = 0) AS hard_gate_failures, {errors}, {latency}, {prf()} FROM s GROUP BY model""",
         "eval_error_rates": f"""{head}, r AS (SELECT sum(ne)::BIGINT AS expected, {errors} FROM s) SELECT expected, unnest([{', '.join(f"'{k}'" for k in ERRORS)}]) AS field,
           unnest([{', '.join(f'{k}_errors' for k in ERRORS)}]) AS errors, unnest([{', '.join(f'{k}_errors / nullif(expected, 0)::DOUBLE' for k in ERRORS)}]) AS rate FROM r""",
-        "eval_metric": f"""{head}, f AS (SELECT model, CASE WHEN raw = '' THEN 0.0 ELSE 0.5 * format{own} + 0.5 * acc END AS score FROM s)
+        "eval_metric": f"""{head}, f AS (SELECT model, CASE WHEN raw = '' OR NOT clean THEN 0.0 ELSE 0.5 * format{own} + 0.5 * acc END AS score FROM s)
           SELECT model, count(*) AS n, round(avg(score), 9) AS score, count(*) FILTER (score < 0.8) AS failures FROM f GROUP BY model""",
     }

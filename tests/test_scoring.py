@@ -173,3 +173,13 @@ def test_latency(spark):
 def test_metric(evaluated):
     rows = {r["pred_id"]: r["score"] for r in scoring.composite_metric(evaluated).collect()}
     assert rows[0] == 1.0 and rows[1] == 1.0 and rows[2] == 0.0 and 0 < rows[4] < 1
+
+
+def test_answers_that_were_not_understood(spark):
+    rows = [(1, [t()]), (2, []), (3, None), (4, [t(), None])]
+    df = spark.createDataFrame(rows, f"id int, parsed_targets {TARGETS}")
+    got = {r["id"]: r["s"] for r in df.select("id", scoring.cleaned_strict(df.parsed_targets).alias("s")).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0}
+    # the same as writing and checking the text, but for the missing answer, which is written as an empty text
+    again = {r["id"]: r["s"] for r in df.select("id", udfs.strict_json(udfs.dumps(df.parsed_targets)).alias("s")).collect()}
+    assert again == got
