@@ -69,3 +69,10 @@ def exact_round(c: Column, digits: int) -> Column:
     up = F.abs(c) >= half if Decimal(half) > Decimal(f"5e-{digits + 1}") else F.abs(c) > half
     small = F.when(up, F.signum(c) * unit).otherwise(F.signum(c) * 0.0)
     return F.when(F.abs(c) < unit, small).otherwise(F.replace(F.format_number(c, digits), F.lit(",")).cast("double"))
+
+
+def scaled_round(c: Column, digits: int) -> Column:
+    """Rounding of the product with 10^digits, ties away from zero, as DuckDB's ``round`` does; Spark's rounds the shortest decimal."""
+    unit = F.lit(float(f"1e{digits}"))
+    scaled = c * unit
+    return F.when(F.abs(scaled) == float("inf"), c).otherwise(F.signum(scaled) * F.round(F.abs(scaled)) / unit)

@@ -7,7 +7,7 @@ thing Spark lacks, is computed beforehand for the few pairs that need it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talliflow.functions.text import exact_round, let, strip
+from talliflow.functions.text import exact_round, let, scaled_round, strip
 from talliflow.functions.udfs import strict_json
 from talliflow.schemas import TARGETS
 from talliflow.session import spread
@@ -268,12 +268,12 @@ def composite_metric(entries: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(predictions: DataFrame, *by: str) -> DataFrame:
-    """p50 and p99 with linear interpolation, rounded to 3 digits; 0 without any value.
+    """p50 and p99 with linear interpolation, rounded to 3 digits as SQL rounds (reports round as Python does); 0 without any value.
 
     The exact aggregate keeps counts of distinct values, which the clock's resolution bounds.
     """
-    return predictions.groupBy(*by).agg(*_latencies())
+    return predictions.groupBy(*by).agg(*_latencies(scaled_round))
 
 
-def _latencies() -> list[Column]:
-    return [exact_round(F.coalesce(F.percentile("latency_seconds", F.lit(q)), F.lit(0.0)), 3).alias(f"{k}_seconds") for q, k in ((0.5, "p50"), (0.99, "p99"))]
+def _latencies(rounded: Callable[[Column, int], Column] = exact_round) -> list[Column]:
+    return [rounded(F.coalesce(F.percentile("latency_seconds", F.lit(q)), F.lit(0.0)), 3).alias(f"{k}_seconds") for q, k in ((0.5, "p50"), (0.99, "p99"))]

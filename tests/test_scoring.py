@@ -3,11 +3,13 @@
 import json
 from difflib import SequenceMatcher
 
+import duckdb
 import pytest
 
 from talliflow.functions import udfs
-from talliflow.functions.text import exact_round
+from talliflow.functions.text import exact_round, scaled_round
 from talliflow.operators import scoring
+from talliflow.plans import catalogue
 from talliflow.schemas import TARGETS
 
 
@@ -170,6 +172,30 @@ def test_latency(spark):
     assert got == {"a": (2.0, 3.96), "b": (0.0, 0.0)}
 
 
+PAIRS = {f"pair{k}": [k / 1000, (k + 1) / 1000] for k in (*range(0, 4000, 7), 1881)}
+SINGLE = {f"single{k}": [k / 10_000] for k in (5, 5005, 10005, 18815, 20015, 80875)}
+ODD = {"none": [None], "inf": [1.0, float("inf")], "nan": [float("nan")], "large": [1e306], "less": [-0.0005, None]}
+
+
+@pytest.mark.parametrize("groups", [PAIRS, SINGLE, ODD], ids=["pairs", "single", "odd"])
+def test_latency_rounds_as_its_sql(spark, groups):
+    rows = [(m, x) for m, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "model string, latency_seconds double")
+    con = duckdb.connect()
+    con.execute("create table predictions (model varchar, latency_seconds double)")
+    con.executemany("insert into predictions values (?, ?)", rows)
+    want = {r[0]: repr(r[1:]) for r in con.execute(catalogue.SQL["latency_percentiles"]).fetchall()}
+    got = {r["model"]: repr((r["p50_seconds"], r["p99_seconds"])) for r in scoring.latency_percentiles(df, "model").collect()}
+    assert got == want and got.get("pair1881", "(1.882, 1.882)") == "(1.882, 1.882)"
+
+
+def test_scaled_round(spark):
+    xs = [k / 10_000 for k in range(5, 30_000, 10)] + [0.00049999999999999994, -0.0005, 0.0, 2**52 + 0.5, 1e300, 1.7e308, float("-inf"), None]
+    want = [r[0] for r in duckdb.execute("select round(unnest(?::double[]), 3)", [xs]).fetchall()]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r[0] for r in df.coalesce(1).select(scaled_round(df.x, 3)).collect()] == want
+
+
 def test_metric(evaluated):
     rows = {r["pred_id"]: r["score"] for r in scoring.composite_metric(evaluated).collect()}
     assert rows[0] == 1.0 and rows[1] == 1.0 and rows[2] == 0.0 and 0 < rows[4] < 1
